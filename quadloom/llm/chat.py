@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 Render = Callable[[list[Turn]], str]
-PROBE = ""
+PROBE = "\ue000"  # of the private use area
 
 #: The marks of the turn format.
 START, END = "<|im_start|>", "<|im_end|>"
