@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,23 +65,28 @@ def edit_distance_within(a: str, b: str, threshold: int) -> int | None:
         return len(a) + len(b)
     if len(a) > len(b):
         a, b = b, a
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
+    where: dict[str, int] = {}  # grows with the band
+    for i, c in enumerate(a[:threshold]):
         where[c] = where.get(c, 0) | 1 << i
+    rows = len(a)
     # In column j, bit k of a word is row j - threshold + k; the band slides one row down a column.
     mask = (1 << (2 * threshold + 1)) - 1
     up, down, distance = mask ^ ((1 << threshold) - 1), 0, 0  # vertical differences of +1 and -1
     for j, c in enumerate(b, 1):
         shift = j - threshold - 1
+        if (i := j + threshold - 1) < rows:
+            where[a[i]] = where.get(a[i], 0) | 1 << i
         eq = where.get(c, 0)
         eq = (eq >> shift if shift >= 0 else eq << -shift) & mask
         same = ((((eq & up) + up) ^ up) | eq | down) & mask  # diagonal differences of 0
         right, left = down | (mask & ~(same | up)), same & up  # horizontal differences of +1 and -1
-        if j <= len(a):
+        if j <= rows:
             distance += not same >> threshold & 1
         else:
-            row = len(a) - j + threshold
+            row = rows - j + threshold
             distance += (right >> row & 1) - (left >> row & 1)
+        if distance > 2 * threshold:  # the last cell is at most threshold diagonals away, and diagonals never fall
+            return None
         up, down = left | (mask & ~((same >> 1) | right)), (same >> 1) & right
     return distance if distance <= threshold else None
 
@@ -87,48 +94,69 @@ def edit_distance_within(a: str, b: str, threshold: int) -> int | None:
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """``doc_id, pos, line, node`` of every line of ``min_chars`` characters or more, trimmed."""
     raw = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return raw.select("doc_id", "pos", F.btrim("raw", F.lit(" \t\r")).alias("line")).where(F.char_length("line") >= min_chars).withColumn("node", F.xxhash64("line"))
+    return raw.select("doc_id", "pos", F.trim("raw").alias("line")).where(F.char_length("line") >= min_chars).withColumn("node", F.xxhash64("line"))
 
 
-def _segment(indexed, i: int, threshold: int):
-    """Start (from 0) and length of segment ``i`` of a line whose length is the column ``indexed``."""
-    parts = threshold + 1
-    base, longer = F.floor(indexed / parts).cast("int"), F.pmod(indexed, F.lit(parts))
-    at = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-    return at, base + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
-
-
-def _keys(lines: DataFrame, threshold: int, min_near: int, index: bool) -> DataFrame:
-    """``bucket, node``: the index entries of each line of ``min_near`` characters or more, or its probes."""
-    line = lines.where(F.char_length("line") >= min_near).select("node", "line", F.char_length("line").alias("n"))
-    keys = []
-    for gap, i, offset in [(0, i, 0) for i in range(threshold + 1)] if index else probe_offsets(threshold):
-        at, size = _segment(F.col("n") - gap, i, threshold)
-        start = at + offset
-        key = F.xxhash64(F.substring(F.col("line"), start + 1, size), F.lit(i), F.col("n") - gap)
-        inside = (start >= 0) & (start + size <= F.col("n")) & (F.col("n") - gap >= min_near)
-        keys.append(key if index else F.when(inside, key))
-    return line.select(F.explode(F.array(*keys)).alias("bucket"), "node").where("bucket is not null")
-
-
-def near_lines(lines: DataFrame, threshold: int = 2, min_near: int | None = None) -> DataFrame | None:
-    """Components ``node, comp`` of different lines within ``threshold`` edits of each other; None if there are none.
+def _keys(docs: DataFrame, threshold: int, min_near: int, index: bool) -> DataFrame:
+    """``bucket, node``: the index entries of each line of ``min_near`` characters or more, or its probes.
 
-    Lines shorter than ``min_near`` (ten characters a segment) only match exactly.
+    A worker leaves out lines that it has met a short while ago; what is left of repeats is harmless.
     """
-    min_near = min_near or 10 * (threshold + 1)
-    index = _keys(lines, threshold, min_near, True)
+    offsets = probe_offsets(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, seen = xxhash.xxh64_intdigest, set()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                buckets, nodes, counts = [], [], []
+                for text in batch.column(0).slice(lo, 256):
+                    for line in (text.as_py() or "").split("\n"):
+                        line = line.strip(" ")
+                        n = len(line)
+                        if n < min_near or (node := digest(line, 42)) in seen:
+                            continue
+                        seen.add(node)
+                        before = len(buckets)
+                        if index:
+                            buckets += [digest(line[at : at + size], n << 8 | i) for i, (at, size) in enumerate(segments(n, threshold))]
+                        else:
+                            plans = [segments(n - gap, threshold) if n - gap >= min_near else None for gap in range(threshold + 1)]
+                            for gap, i, offset in offsets:
+                                if plans[gap] is not None:
+                                    at, size = plans[gap][i]
+                                    at += offset
+                                    if at >= 0 and at + size <= n:
+                                        buckets.append(digest(line[at : at + size], (n - gap) << 8 | i))
+                        nodes.append(node)
+                        counts.append(len(buckets) - before)
+                    if len(seen) > 500_000:
+                        seen.clear()
+                node = np.repeat(np.array(nodes, np.uint64), counts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(buckets, np.uint64).view(np.int64)), pa.array(node)], ["bucket", "node"])
+
+    return docs.select("text").mapInArrow(run, "bucket long, node long")
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, threshold: int = 2, min_near: int | None = None) -> DataFrame:
+    """Components ``node, comp`` of different lines within ``threshold`` edits of each other.
+
+    Lines shorter than ``min_near`` (sixteen characters a segment) only match exactly.
+    """
+    min_near = min_near or 16 * (threshold + 1)
+    index = _keys(docs, threshold, min_near, True)
     # keys that only one line has need no list: its least and greatest node are the same
     held = index.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    probed = _keys(lines, threshold, min_near, False).join(held, "bucket").where("lo <> node or hi <> node").select("bucket", "node")
+    probed = _keys(docs, threshold, min_near, False).join(held, "bucket").where("lo <> node or hi <> node").select("bucket", "node")
     probed = cut(probed.distinct())
     shared = cut(held.where("lo <> hi").select("bucket").unionByName(probed.select("bucket")).distinct())
     entries = index.join(small(shared), "bucket", "left_semi").distinct().withColumn("indexed", F.lit(1))
     rows = cut(entries.unionByName(probed.withColumn("indexed", F.lit(0))).groupBy("bucket", "node").agg(F.max("indexed").alias("indexed")))
 
+    # the lines that meet another in some bucket: read once, for all that follows
+    met_nodes = cut(rows.select("node").distinct())
+    texts = cut(lines.join(small(met_nodes), "node", "left_semi").select("node", "line").groupBy("node").agg(F.first("line").alias("line")))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        texts = cut(lines.join(small(wanted), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")))
         met = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +166,13 @@ def near_lines(lines: DataFrame, threshold: int = 2, min_near: int | None = None
 
         return met.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long")
 
-    return link_buckets(rows, verify)[1]
+    def payloads(wanted: DataFrame) -> DataFrame:
+        return texts.join(small(wanted), "node", "left_semi").select("node", F.col("line").alias("payload"))
+
+    def near(one: str, others: list[str]) -> list[bool]:
+        return [edit_distance_within(one, other, threshold) is not None for other in others]
+
+    return link_buckets(rows, verify, payloads, near)[1]
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 10, min_near: int | None = None) -> DataFrame:
@@ -154,7 +188,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     places = lines.select("doc_id", "pos", "node")
     # one row a line and task is shuffled, however often a line occurs
     seen = places.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    comp = near_lines(lines, threshold, min_near)
+    comp = near_lines(base, lines, threshold, min_near)
     repeated = cut(seen.join(small(comp), "node", "left").where("n > 1 or comp is not null").select("node", F.coalesce("comp", "node").alias("class"), "first_doc"))
     first = repeated.groupBy("class").agg(F.min("first_doc").alias("first_doc"))
     repeated = cut(repeated.select("node", "class").join(first, "class"))

@@ -1,23 +1,25 @@
 """From buckets of candidates to verified links and classes, without all pairs of a bucket.
 
 A bucket holds nodes that may be near each other. Small buckets are checked pair by pair, which is a bounded number for
-each member. In a large bucket every member is first checked against one pivot; as long as its members are not all in
-one class, the next round takes a further pivot from those that were none. So no link between classes is lost, and a
-group of near copies costs one check a member.
+each member. In a large bucket every member is first checked against one pivot. Where that leaves members outside the
+bucket's largest class, each of these is compared with all members of other classes: in chunks, inside the worker, which
+returns only the pairs that pass. So no link between classes is lost, a group of near copies costs one check a member,
+and rows grow with the members and not with their pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import cut, small
 
-#: Buckets up to SMALL are checked pair by pair at once, up to MIDDLE as soon as one pivot did not join them.
-SMALL, MIDDLE = 8, 64
+#: Buckets up to SMALL are checked pair by pair. About CHUNK nodes outside the largest class are compared at once.
+SMALL, CHUNK = 8, 64
 
 
 def _pairs_within(members: DataFrame) -> DataFrame:
@@ -35,12 +37,38 @@ def _pairs_with(members: DataFrame) -> DataFrame:
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
-def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _pairs_apart(live: DataFrame, payloads: DataFrame, near: Callable[[object, list], list[bool]]) -> DataFrame:
+    """``a < b`` for members of different classes that are ``near``; ``live``: bucket, node, indexed, comp."""
+    sizes = live.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    open_ = cut(live.join(main.select("bucket", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.k")).alias("others")), "bucket").join(payloads, "node"))
+    chunk = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("others") / CHUNK)))
+    rest = open_.where("comp <> main").select("bucket", chunk.alias("chunk"), F.struct("node", "comp", "indexed", "payload").alias("m"))
+    rest = rest.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("ms"))
+    met = open_.select("bucket", "node", "comp", "indexed", "payload").join(rest, "bucket").select("node", "comp", "indexed", "payload", "ms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for lo in range(0, batch.num_rows, 256):
+                for node, comp, indexed, payload, ms in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                    ms = [m for m in ms if m["comp"] != comp and m["indexed"] + indexed > 0]
+                    for m, ok in zip(ms, near(payload, [m["payload"] for m in ms]), strict=True):
+                        if ok:
+                            a.append(min(node, m["node"]))
+                            b.append(max(node, m["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payloads: Callable[[DataFrame], DataFrame], near: Callable[[object, list], list[bool]]) -> tuple[DataFrame, DataFrame]:
     """Verified links ``a, b`` and the components ``node, comp`` of nodes that have a link.
 
     ``rows``: ``bucket, node, indexed`` (two longs, 0 or 1; distinct). Of two members at least one must be indexed.
-    ``verify`` keeps the linked ones of the pairs ``a, b`` (a < b). Buckets are counted with sums that are combined
-    before the shuffle; only rows of buckets with two members or more go on.
+    ``verify`` keeps the linked ones of the pairs ``a, b`` (a < b). ``payloads`` gives ``node, payload`` for a table of
+    nodes, ``near`` tells which payloads of a list may be linked with one; ``verify`` has the last word. Buckets are
+    counted with sums that are combined before the shuffle; only rows of buckets with two members or more go on.
     """
     entry = F.when(F.col("indexed") == 1, F.col("node"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(entry).alias("next")).where("n > 1 and next is not null")
@@ -49,18 +77,14 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> t
     first = _pairs_within(members.where(~large)).unionByName(_pairs_with(members.where(large))).distinct()
     links = cut(verify(cut(first)))
     comp = components(links)
-    live = members.where(large).select("bucket", "node", "indexed", "n", F.col("next").alias("last"))
-    while True:
-        live = live.join(small(comp.withColumnRenamed("comp", "c")), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
-        # a bucket is settled once all its members are of one class, or each indexed one was its pivot
-        later = F.when((F.col("node") > F.col("last")) & (F.col("indexed") == 1), F.col("node"))
-        apart = live.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(later).alias("next")).where("c0 <> c1 and next is not null").select("bucket", "next")
-        live = cut(live.join(apart, "bucket"))
-        if live.isEmpty():
-            return links, comp
-        large_ones = live.where(F.col("n") > MIDDLE)
-        pairs = _pairs_within(live.where(F.col("n") <= MIDDLE)).unionByName(_pairs_with(large_ones)).distinct()
-        more = verify(cut(pairs.join(links, ["a", "b"], "left_anti")))
-        links = cut(links.unionByName(more))
-        comp = components(links)
-        live = large_ones.select("bucket", "node", "indexed", "n", F.col("next").alias("last"))
+    live = members.where(large).select("bucket", "node", "indexed")
+    live = live.join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    apart = live.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+    live = cut(live.join(apart, "bucket"))
+    if not live.isEmpty():
+        pairs = _pairs_apart(live, payloads(live.select("node").distinct()), near)
+        more = cut(verify(cut(pairs.join(links, ["a", "b"], "left_anti"))))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = components(links)
+    return links, comp

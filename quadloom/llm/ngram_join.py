@@ -40,8 +40,8 @@ def _multipliers(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, 1 << 32, hashes, np.uint32) | np.uint32(1), draw.integers(0, 1 << 32, hashes, np.uint32)
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """Band hashes of some n-gram sets: one row a set, one 64-bit hash a band. An empty set has the hashes of no minimum."""
+def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of some n-gram sets: a 64-bit hash for each band, and a byte for each minimum. An empty set has the hashes of no minimum."""
     times, plus = _multipliers(bands * rows)
     least = np.full((len(sets), bands * rows), 0xFFFFFFFF, np.uint32)
     for at, grams in enumerate(sets):
@@ -50,15 +50,29 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
             v = low[lo : lo + 1024, None] * times
             v += plus
             np.minimum(least[at], v.min(axis=0), out=least[at])
+    sketch = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
     least = least.reshape(len(sets), bands, rows).astype(np.uint64)
     key = mix64(np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), bands)))
     for r in range(rows):
         key = mix64(key ^ least[:, :, r])
-    return key
+    return key, sketch
+
+
+def near_sketches(threshold: float, hashes: int):
+    """Whether the bytes of minima agree as often as at the threshold, less four standard deviations."""
+    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / hashes)
+
+    def near(one: bytes, others: list[bytes]) -> list[bool]:
+        if not others:
+            return []
+        table = np.frombuffer(b"".join(others), np.uint8).reshape(len(others), -1)
+        return ((table == np.frombuffer(one, np.uint8)).mean(axis=1) >= least).tolist()
+
+    return near
 
 
 def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``node_doc, k1, k2, bands``: a 128-bit name of the n-gram set and its band hashes."""
+    """``doc_id, k1, k2, bands, sketch``: a 128-bit name of the n-gram set, its band hashes and the bytes of its minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +80,11 @@ def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 part = batch.slice(lo, 256)
                 sets = [shingle_hashes(t.as_py(), words) for t in part.column(1)]
                 names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                keys = signatures(sets, bands, rows)
+                keys, sketch = signatures(sets, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), lists], ["doc_id", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "k1", "k2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
 def _gram_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -101,7 +115,7 @@ def ngram_join(
     known = base.where("doc_id is not null")
     signed = cut(_sign(known, words, bands, rows))
     # one node for each n-gram set; its name is the least id that has it
-    nodes = cut(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    nodes = cut(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.lit(1).alias("indexed"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -111,7 +125,10 @@ def ngram_join(
         shared = F.size(F.array_intersect("ga", "gb"))
         return met.where(shared >= threshold * (F.size("ga") + F.size("gb") - shared)).select("a", "b").distinct()
 
-    links, comp = link_buckets(buckets, verify)
+    def sketches(wanted: DataFrame) -> DataFrame:
+        return nodes.select("node", F.col("sketch").alias("payload")).join(small(wanted), "node", "left_semi")
+
+    links, comp = link_buckets(buckets, verify, sketches, near_sketches(threshold, bands * rows))
     copies = nodes.select("node", "copies")
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     linked = ends.join(copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
