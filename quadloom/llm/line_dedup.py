@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .linking import link_buckets
 from .runtime import cut, small
+from .shingles import BoundedCache
 
 
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -102,10 +103,20 @@ def _keys(docs: DataFrame, threshold: int, min_near: int, index: bool) -> DataFr
 
     A worker leaves out lines that it has met a short while ago; what is left of repeats is harmless.
     """
-    offsets = probe_offsets(threshold)
+    offsets = [(0, i, 0) for i in range(threshold + 1)] if index else probe_offsets(threshold)
+
+    def slices(n: int) -> list[tuple[int, int, int]]:
+        """Start, end and seed of each key of a line of ``n`` characters."""
+        out = []
+        for gap, i, offset in offsets:
+            if n - gap >= min_near:
+                at, size = segments(n - gap, threshold)[i]
+                if 0 <= at + offset <= n - size:
+                    out.append((at + offset, at + offset + size, (n - gap) << 8 | i))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, seen = xxhash.xxh64_intdigest, set()
+        digest, seen, plans = xxhash.xxh64_intdigest, set(), BoundedCache(slices, 20_000)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 buckets, nodes, counts = [], [], []
@@ -116,19 +127,10 @@ def _keys(docs: DataFrame, threshold: int, min_near: int, index: bool) -> DataFr
                         if n < min_near or (node := digest(line, 42)) in seen:
                             continue
                         seen.add(node)
-                        before = len(buckets)
-                        if index:
-                            buckets += [digest(line[at : at + size], n << 8 | i) for i, (at, size) in enumerate(segments(n, threshold))]
-                        else:
-                            plans = [segments(n - gap, threshold) if n - gap >= min_near else None for gap in range(threshold + 1)]
-                            for gap, i, offset in offsets:
-                                if plans[gap] is not None:
-                                    at, size = plans[gap][i]
-                                    at += offset
-                                    if at >= 0 and at + size <= n:
-                                        buckets.append(digest(line[at : at + size], (n - gap) << 8 | i))
+                        plan = plans[n]
+                        buckets += [digest(line[start:end], seed) for start, end, seed in plan]
                         nodes.append(node)
-                        counts.append(len(buckets) - before)
+                        counts.append(len(plan))
                     if len(seen) > 500_000:
                         seen.clear()
                 node = np.repeat(np.array(nodes, np.uint64), counts).view(np.int64)
@@ -147,10 +149,11 @@ def near_lines(docs: DataFrame, lines: DataFrame, threshold: int = 2, min_near:
     # keys that only one line has need no list: its least and greatest node are the same
     held = index.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     probed = _keys(docs, threshold, min_near, False).join(held, "bucket").where("lo <> node or hi <> node").select("bucket", "node")
-    probed = cut(probed.distinct())
-    shared = cut(held.where("lo <> hi").select("bucket").unionByName(probed.select("bucket")).distinct())
-    entries = index.join(small(shared), "bucket", "left_semi").distinct().withColumn("indexed", F.lit(1))
-    rows = cut(entries.unionByName(probed.withColumn("indexed", F.lit(0))).groupBy("bucket", "node").agg(F.max("indexed").alias("indexed")))
+    # both parts read the same exchange of index entries
+    found = cut(probed.unionByName(held.where("lo <> hi").select("bucket", F.lit(None).cast("long").alias("node"))).distinct())
+    shared = cut(found.select("bucket").distinct())
+    entries = index.join(small(shared), "bucket", "left_semi").withColumn("indexed", F.lit(1))
+    rows = cut(entries.unionByName(found.where("node is not null").withColumn("indexed", F.lit(0))).groupBy("bucket", "node").agg(F.max("indexed").alias("indexed")))
 
     # the lines that meet another in some bucket: read once, for all that follows
     met_nodes = cut(rows.select("node").distinct())
@@ -169,7 +172,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, threshold: int = 2, min_near:
     def payloads(wanted: DataFrame) -> DataFrame:
         return texts.join(small(wanted), "node", "left_semi").select("node", F.col("line").alias("payload"))
 
-    def near(one: str, others: list[str]) -> list[bool]:
+    def near(bucket: int, one: str, others: list[str]) -> list[bool]:
         return [edit_distance_within(one, other, threshold) is not None for other in others]
 
     return link_buckets(rows, verify, payloads, near)[1]

@@ -37,7 +37,7 @@ def _pairs_with(members: DataFrame) -> DataFrame:
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
-def _pairs_apart(live: DataFrame, payloads: DataFrame, near: Callable[[object, list], list[bool]]) -> DataFrame:
+def _pairs_apart(live: DataFrame, payloads: DataFrame, near: Callable[[int, object, list], list[bool]]) -> DataFrame:
     """``a < b`` for members of different classes that are ``near``; ``live``: bucket, node, indexed, comp."""
     sizes = live.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("classes")).where("classes > 1")
@@ -45,15 +45,16 @@ def _pairs_apart(live: DataFrame, payloads: DataFrame, near: Callable[[object, l
     chunk = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("others") / CHUNK)))
     rest = open_.where("comp <> main").select("bucket", chunk.alias("chunk"), F.struct("node", "comp", "indexed", "payload").alias("m"))
     rest = rest.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("ms"))
-    met = open_.select("bucket", "node", "comp", "indexed", "payload").join(rest, "bucket").select("node", "comp", "indexed", "payload", "ms")
+    met = open_.select("bucket", "node", "comp", "indexed", "payload", "main").join(rest, "bucket").select("bucket", "node", "comp", "indexed", "payload", "main", "ms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for lo in range(0, batch.num_rows, 256):
-                for node, comp, indexed, payload, ms in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    ms = [m for m in ms if m["comp"] != comp and m["indexed"] + indexed > 0]
-                    for m, ok in zip(ms, near(payload, [m["payload"] for m in ms]), strict=True):
+                for bucket, node, comp, indexed, payload, main, ms in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                    # two members outside the main class meet twice; once is enough
+                    ms = [m for m in ms if m["comp"] != comp and m["indexed"] + indexed > 0 and (comp == main or node < m["node"])]
+                    for m, ok in zip(ms, near(bucket, payload, [m["payload"] for m in ms]), strict=True):
                         if ok:
                             a.append(min(node, m["node"]))
                             b.append(max(node, m["node"]))
@@ -62,12 +63,12 @@ def _pairs_apart(live: DataFrame, payloads: DataFrame, near: Callable[[object, l
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payloads: Callable[[DataFrame], DataFrame], near: Callable[[object, list], list[bool]]) -> tuple[DataFrame, DataFrame]:
+def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payloads: Callable[[DataFrame], DataFrame], near: Callable[[int, object, list], list[bool]]) -> tuple[DataFrame, DataFrame]:
     """Verified links ``a, b`` and the components ``node, comp`` of nodes that have a link.
 
     ``rows``: ``bucket, node, indexed`` (two longs, 0 or 1; distinct). Of two members at least one must be indexed.
     ``verify`` keeps the linked ones of the pairs ``a, b`` (a < b). ``payloads`` gives ``node, payload`` for a table of
-    nodes, ``near`` tells which payloads of a list may be linked with one; ``verify`` has the last word. Buckets are
+    nodes, ``near`` tells which payloads of a list may be linked with one in a bucket; ``verify`` has the last word. Buckets are
     counted with sums that are combined before the shuffle; only rows of buckets with two members or more go on.
     """
     entry = F.when(F.col("indexed") == 1, F.col("node"))

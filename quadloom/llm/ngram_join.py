@@ -58,21 +58,29 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarra
     return key, sketch
 
 
-def near_sketches(threshold: float, hashes: int):
-    """Whether the bytes of minima agree as often as at the threshold, less four standard deviations."""
-    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / hashes)
+def near_sketches(threshold: float, bands: int, hashes: int):
+    """Whether the bytes of minima agree as often as at the threshold, less 3.5 standard deviations.
 
-    def near(one: bytes, others: list[bytes]) -> list[bool]:
+    A payload is the band hashes followed by the bytes. A pair counts in the first of the buckets that it shares only:
+    where that one is small, it has been verified before.
+    """
+    least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / hashes)
+
+    def near(bucket: int, one: bytes, others: list[bytes]) -> list[bool]:
         if not others:
             return []
         table = np.frombuffer(b"".join(others), np.uint8).reshape(len(others), -1)
-        return ((table == np.frombuffer(one, np.uint8)).mean(axis=1) >= least).tolist()
+        mine = np.frombuffer(one, np.uint8)
+        keys = np.ascontiguousarray(table[:, : 8 * bands]).view(np.int64)
+        own = mine[: 8 * bands].view(np.int64)
+        first = own[np.argmax(keys == own, axis=1)] == bucket
+        return (first & ((table[:, 8 * bands :] == mine[8 * bands :]).mean(axis=1) >= least)).tolist()
 
     return near
 
 
 def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, k1, k2, bands, sketch``: a 128-bit name of the n-gram set, its band hashes and the bytes of its minima."""
+    """``doc_id, k1, k2, bands, sketch``: a 128-bit name of the n-gram set, its band hashes, and these with the bytes of its minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +90,7 @@ def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
                 keys, sketch = signatures(sets, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "k1", "k2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), lists, pa.array([k.tobytes() + x.tobytes() for k, x in zip(keys, sketch, strict=True)], pa.binary())], ["doc_id", "k1", "k2", "bands", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>, sketch binary")
 
@@ -128,7 +136,7 @@ def ngram_join(
     def sketches(wanted: DataFrame) -> DataFrame:
         return nodes.select("node", F.col("sketch").alias("payload")).join(small(wanted), "node", "left_semi")
 
-    links, comp = link_buckets(buckets, verify, sketches, near_sketches(threshold, bands * rows))
+    links, comp = link_buckets(buckets, verify, sketches, near_sketches(threshold, bands, bands * rows))
     copies = nodes.select("node", "copies")
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     linked = ends.join(copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("copies").alias("others"))

@@ -23,6 +23,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -182,6 +183,13 @@ class ShardReader:
         return None
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter for each byte in byte-level vocabularies: itself if it is printable, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 @lru_cache(2)
 def _encoder(path: str, width: int):
     """Text to the bytes of its ids. The tokenizer drops white space and never joins across it, so words are encoded once and kept."""
@@ -189,7 +197,22 @@ def _encoder(path: str, width: int):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    kept = BoundedCache(lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, f"<u{width}").tobytes(), 400_000)
+    model, kind, letters = tokenizer.model, "H" if width == 2 else "I", _byte_letters()
+
+    def ids_of(word: str) -> bytes:
+        if word and max(word) < "\u0100":  # nothing to compose; letters lower one by one
+            # the tokenizer never joins letters with other signs
+            if word[-1] in (",", ".") and word[:-1].isalpha():
+                return kept[word[:-1]] + kept[word[-1]]
+            if word.isalpha():
+                lower = word.lower()
+                if lower != word:
+                    return kept[lower]
+                ids = array(kind, [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))])
+                return ids.tobytes()
+        return array(kind, tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    kept = BoundedCache(ids_of, 400_000)
 
     def encode(text: str | None) -> bytes:
         return b"".join(map(kept.__getitem__, (text or "").replace("\n", " ").split(" ")))
