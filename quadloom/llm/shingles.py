@@ -11,16 +11,24 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 class BoundedCache(dict):
-    """A dict that fills itself by ``make(key)`` and starts anew at ``limit`` entries, so that its memory is bounded."""
+    """A dict that fills itself by ``make(key)``; its memory is bounded.
+
+    At ``limit`` entries it starts anew and keeps the entries so far as an older generation, from which those that are
+    still in use come back.
+    """
 
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 

@@ -212,10 +212,18 @@ def _encoder(path: str, width: int):
                 return ids.tobytes()
         return array(kind, tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    kept = BoundedCache(ids_of, 400_000)
+    kept = BoundedCache(ids_of, 600_000)
 
     def encode(text: str | None) -> bytes:
-        return b"".join(map(kept.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        text = text or ""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            if "<|" not in text:  # special tokens are looked for in the text as it is
+                text = text.lower()  # as the tokenizer does, letter by letter
+        return b"".join(map(kept.__getitem__, text.replace("\n", " ").split(" ")))
 
     return encode
 
