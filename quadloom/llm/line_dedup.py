@@ -145,7 +145,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, threshold: int = 2, min_near:
     Lines shorter than ``min_near`` (sixteen characters a segment) only match exactly.
     """
     min_near = min_near or 16 * (threshold + 1)
-    index = _keys(docs, threshold, min_near, True)
+    # the filter is what the join below asks for anyway: with it, both uses of the entries are one exchange
+    index = _keys(docs, threshold, min_near, True).where("bucket is not null")
     # keys that only one line has need no list: its least and greatest node are the same
     held = index.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     probed = _keys(docs, threshold, min_near, False).join(held, "bucket").where("lo <> node or hi <> node").select("bucket", "node")
