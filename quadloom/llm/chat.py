@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import ship
+
 Turn = tuple[str, str]
 Render = Callable[[list[Turn]], str]
 PROBE = "\ue000"  # of the private use area
@@ -97,6 +99,7 @@ def format_conversations(
     empty table gives an empty result. A conversation is one value of the result and so is gathered in one task;
     rendering each prefix costs the square of its number of turns.
     """
+    ship(conversations.sparkSession)
     turn = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     grouped = conversations.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     grouped = grouped.select("conv_id", F.transform("turns", lambda t: t.role).alias("roles"), F.transform("turns", lambda t: t.text).alias("texts"))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut, ship, small
+
 #: Characters of test items that one automaton holds (some 100 bytes each); more items go in further blocks.
 BLOCK_CHARS = 1_000_000
 
@@ -107,6 +109,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     There is no shuffle of texts.
     """
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks: list[list[tuple[int, str]]] = [[]]
     held = 0
@@ -143,8 +146,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a passage of the benchmark; rows with a null id stay."""
-    from .runtime import cut, small
-
     id_col = options.get("id_col", "doc_id")
     leaked = cut(find_leaks(docs, benchmark, **options).where("doc_id is not null").select(F.col("doc_id").alias("__leaked")).distinct())
     return docs.join(small(leaked), F.col(id_col) == F.col("__leaked"), "left_anti")

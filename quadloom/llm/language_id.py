@@ -7,6 +7,7 @@ hierarchically: a host's counts lean on those of its suffix, and these on the wh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, small
+from .runtime import cut, ship, small
 
 #: Suffixes of national addresses and the language that they speak for.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 BUCKETS = 1 << 15
 WINDOW = 100_000
 UNKNOWN = "und"
+_NOISE = re.compile(r"[\d@_=/\\<>|]").search
 
 
 def _grams(windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,12 +38,15 @@ def _grams(windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _windows(text: str) -> list[str]:
     """A text in windows of bounded size that share two characters, so that each trigram is in one of them."""
+    if not text:
+        return []
     padded = f"  {text} "
     return [padded[lo : lo + WINDOW + 2] for lo in range(0, len(padded) - 2, WINDOW)]
 
 
 def _clean(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    """The words, in lower case; numbers, addresses, keys and the like say nothing of a language."""
+    return " ".join([w for w in (text or "").lower().split() if w.isalpha() or not _NOISE(w)])
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 1500) -> tuple[list[str], np.ndarray]:
@@ -50,6 +55,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     Fitted on a bounded sample: about ``sample_rows`` rows of each label (the rows whose hash falls under its share),
     with whole texts. Counts are grouped in Spark; languages x ``BUCKETS`` numbers reach the driver.
     """
+    ship(docs.sparkSession)
     labelled = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("row_id")).where("label is not null and text is not null")
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -157,7 +163,7 @@ def identify_languages(
     """``doc_id, language, probability, declared, keep`` for each row of ``docs``.
 
     ``labels`` (default: ``docs``) trains the text model on ``label_col``. ``keep`` is false where the unknown class
-    wins, no language reaches ``threshold``, or the text has no letters. Defined cases: a null or blank text has no
+    wins, no language reaches ``threshold``, or the text has no words. Defined cases: a null or blank text, or one of numbers and addresses alone, has no
     likelihood, its language is that of the other evidence, and it isn't kept; null declared, suffix or host give no
     evidence; a declared language that was never seen gives none; ties go to the first language by name; repeated rows
     and null ids are judged row by row; other columns are ignored; an empty table gives an empty result.

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link_buckets
-from .runtime import cut, small
+from .runtime import cut, ship, small
 from .shingles import BoundedCache
 
 
@@ -187,6 +187,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     empty ones empty; rows that repeat an id are one document; rows with a null id are returned as they are and take no
     part; an empty table gives an empty result. Line identity is a 64-bit hash. Columns of ``docs`` keep their places.
     """
+    ship(docs.sparkSession)
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = _lines(base, min_chars)
     places = lines.select("doc_id", "pos", "node")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link_buckets
-from .runtime import cut, small
+from .runtime import cut, ship, small
 from .shingles import mix64, shingle_hashes
 
 
@@ -118,6 +118,7 @@ def ngram_join(
     blank texts are copies of each other. Rows that repeat an id are one document. Rows with a null id have a null class
     and no links. Other columns are ignored; an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     bands, rows = band_layout(threshold, recall, max_hashes)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = base.where("doc_id is not null")

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import ship
+
 SCHEMA = "doc_id long, piece int, start long, length long, shard int, bin int, bin_offset long"
 
 
@@ -114,6 +116,7 @@ def best_fit_pack(
     numbered within their shard; the order of pieces of equal length is by id and piece, so the result depends only on
     the rows.
     """
+    ship(items.sparkSession)
     length = F.coalesce(F.col(length_col).cast("long"), F.lit(0))
     base = items.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(length, F.lit(0)).alias("n"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("long").alias("cluster"))
     total = base.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that their Python workers can import it."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_quadloom_shipped", False) or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="quadloom-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._quadloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share; a folder of our own only where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

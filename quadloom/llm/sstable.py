@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import shared_dir
+from .runtime import shared_dir, ship
 from .shingles import BoundedCache
 
 MAGIC = b"QLSSTBL1"
@@ -242,6 +242,7 @@ def write_shards(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     of the text, so that rows that repeat one id can be split), one shard a partition. The manifest has a small row for
     each shard. A null text is empty; null ids come first; an empty table gives an empty manifest.
     """
+    ship(docs.sparkSession)
     from tokenizers import Tokenizer
 
     if not word_tokenizer(tokenizer):

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import ship
 from .shingles import BoundedCache
 
 MARK = "▁"
@@ -114,6 +115,8 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     is no shuffle, and a worker's memory is the automaton, a bounded cache of word counts and one Arrow batch.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _words(vocabulary)
         for batch in batches:
