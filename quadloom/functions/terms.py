@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,31 +61,54 @@ def placeholder_count(template: str) -> int:
     return sum(is_name for _, is_name in template_parts(template))
 
 
-def template(text: str, column: Callable[[str], Column]) -> Column:
-    """The filled template; null if any placeholder is. Values are encoded where the text before them has ``http`` and they do not."""
+class Value(NamedTuple):
+    """One source value in the forms that terms need; a null stays null in each."""
+
+    key: Column  #: as it is, for joins
+    text: Column  #: with decimals normalised
+    stripped: Column
+    encoded: Column  #: percent-encoded unless it has ``http``, then stripped
+    reference: Column  #: stripped, with double quotes as apostrophes
+
+
+#: How each form follows from the ones before; a form that is used often is computed once if it is a column of its own.
+FORMS: tuple[tuple[str, Callable[[dict[str, Column]], Column]], ...] = (
+    ("key", lambda v: present(v["raw"])),
+    ("text", lambda v: normal_decimal(v["key"])),
+    ("stripped", lambda v: strip(v["text"])),
+    ("encoded", lambda v: strip(F.when(F.contains(v["text"], F.lit("http")), v["text"]).otherwise(encode(v["text"])))),
+    ("reference", lambda v: F.replace(strip(v["key"]), F.lit('"'), F.lit("'"))),
+)
+
+
+def value_of(raw: Column) -> Value:
+    """All forms of a text column."""
+    made = {"raw": raw}
+    for name, form in FORMS:
+        made[name] = form(made)
+    return Value(**{k: v for k, v in made.items() if k != "raw"})
+
+
+def template(text: str, value: Callable[[str], Value]) -> Column:
+    """The filled template; null if any placeholder is. Values are encoded where the text before them has ``http``."""
     pieces: list[Column] = []
-    prefix = ""  # None once it depends on data that may hold "http"
-    fixed = True
+    prefix, fixed = "", True  # the fixed text so far, and whether there is nothing else
     for part, is_name in template_parts(text):
         if not is_name:
             pieces.append(F.lit(part))
             prefix += part
             continue
-        value = normal_decimal(present(column(part)))
+        v = value(part)
         if "http" in prefix:
-            value = F.when(F.contains(value, F.lit("http")), value).otherwise(encode(value))
-        elif not fixed:  # an earlier value may hold it
-            value = F.when(F.contains(F.concat(*pieces), F.lit("http")) & ~F.contains(value, F.lit("http")), encode(value)).otherwise(value)
-        pieces.append(strip(value))
+            pieces.append(v.encoded)
+        elif fixed:
+            pieces.append(v.stripped)
+        else:  # an earlier value may hold it
+            pieces.append(F.when(F.contains(F.concat(*pieces), F.lit("http")), v.encoded).otherwise(v.stripped))
         fixed = False
     return F.concat(*pieces) if pieces else F.lit("")
 
 
-def reference(value: Column) -> Column:
-    """The stripped value with double quotes as apostrophes."""
-    return F.replace(strip(present(value)), F.lit('"'), F.lit("'"))
-
-
 def iri(value: Column) -> Column:
     return F.concat(F.lit("<"), value, F.lit(">"))
 
@@ -104,8 +128,7 @@ def subject_template(value: Column, term_type: str | None, base: str, has_condit
     return iri(value)
 
 
-def subject_reference(value: Column, term_type: str | None, base: str) -> Column:
-    text = reference(value)
+def subject_reference(text: Column, term_type: str | None, base: str) -> Column:
     if "BlankNode" in (term_type or ""):
         return F.concat(F.lit("_:"), text)
     plain = F.when(F.contains(text, F.lit("http")), iri(text)).otherwise(iri(F.concat(F.lit(base), text)))
@@ -131,8 +154,7 @@ def object_template(value: Column, term_type: str | None, datatype: str | None,
     return iri(value)
 
 
-def object_reference(value: Column, term_type: str | None, datatype: str | None, suffix: Column | None) -> Column:
-    text = reference(value)
+def object_reference(text: Column, term_type: str | None, datatype: str | None, suffix: Column | None) -> Column:
     kind = term_type or ""
     if not datatype and suffix is None:
         if "IRI" in kind:
@@ -162,7 +184,7 @@ def language_suffix(language: str) -> str:
 
 def language_column(value: Column) -> Column:
     """The tag that a column names, or nothing where it is null."""
-    return F.coalesce(F.concat(F.lit("@"), strip(present(value))), F.lit(""))
+    return F.coalesce(F.concat(F.lit("@"), value), F.lit(""))
 
 
 def quoted(s: Column, p: Column, o: Column) -> Column:

@@ -106,6 +106,7 @@ class Compiler:
         self.plan: Plan = plan(mapping)  # rejects circles
         self.mapping, self.read, self.options = mapping, read, options or Options()
         self.frames: dict[LogicalSource, DataFrame] = {}
+        self.values: dict[tuple[LogicalSource, str], terms.Value] = {}
         self.producers: dict[tuple, DataFrame] = {}
         self.held: list[DataFrame] = []
         self.fresh = count()
@@ -113,65 +114,97 @@ class Compiler:
     # sources and terms
 
     def source(self, source: LogicalSource) -> DataFrame:
+        """The rows of a source, with each form of the values that some map uses as a column; what is not used is pruned."""
         if source not in self.frames:
-            self.frames[source] = self.read(source)
+            raw = self.read(source)
+            names = list(dict.fromkeys(n for m in self.mapping.maps for n in self.names(m, source)))
+            steps: dict[str, dict[str, Column]] = {form: {} for form, _ in terms.FORMS}
+            for at, name in enumerate(names):
+                column, made = field_of(raw, name), {}
+                integral = name in raw.columns and isinstance(raw.schema[name].dataType, T.IntegralType)
+                for form, make in terms.FORMS:
+                    title = f"__{form}_{at}"
+                    if integral:  # digits are the same in every form
+                        title = f"__key_{at}"
+                        steps["key"][title] = column
+                    else:
+                        steps[form][title] = make({"raw": column, **made})
+                    made[form] = F.col(title)
+                self.values[source, name] = terms.Value(**made)
+            for step in steps.values():
+                raw = raw.withColumns(step) if step else raw
+            self.frames[source] = raw
         return self.frames[source]
 
-    def template(self, frame: DataFrame, text: str) -> Column:
-        return terms.template(text, lambda name: field_of(frame, name))
-
-    def subject(self, m: TriplesMap, frame: DataFrame) -> Column:
+    def names(self, m: TriplesMap, source: LogicalSource) -> list[str]:
+        """The attributes of a source that a map mentions: its own, and those of parents and producers on that source."""
+        found: list[str] = []
+        if m.source == source:
+            every = [m.subject, *(t for p in m.poms for t in (p.predicate, p.object))]
+            texts = [t.value for t in every if t.kind == "template"] + [*m.graphs, *(g for p in m.poms for g in p.graphs)]
+            found += [name for text in texts for name, is_name in terms.template_parts(text) if is_name]
+            found += [t.value for t in every if t.kind == "reference"] + [t.language_map for t in every if t.language_map]
+            found += [c for t in every for c, _ in t.joins]
+        return found + [p for t, _ in m.references() if self.mapping.index[t.value].source == source for _, p in t.joins]
+
+    def value(self, source: LogicalSource, name: str) -> terms.Value:
+        self.source(source)
+        return self.values[source, name]
+
+    def template(self, source: LogicalSource, text: str) -> Column:
+        return terms.template(text, lambda name: self.value(source, name))
+
+    def subject(self, m: TriplesMap) -> Column:
         """The subject of a map that quotes nothing there."""
         s = m.subject
         if s.kind == "constant":
             return F.lit(f"<{s.value}>")
         if s.kind == "template":
-            return terms.subject_template(self.template(frame, s.value), s.term_type, self.mapping.base, bool(s.condition))
-        return terms.subject_reference(field_of(frame, s.value), s.term_type, self.mapping.base)
+            return terms.subject_template(self.template(m.source, s.value), s.term_type, self.mapping.base, bool(s.condition))
+        return terms.subject_reference(self.value(m.source, s.value).reference, s.term_type, self.mapping.base)
 
-    def predicate(self, t: TermMap, frame: DataFrame) -> Column:
+    def predicate(self, t: TermMap, source: LogicalSource) -> Column:
         if t.kind == "constant":
             return F.lit(f"<{t.value}>")
-        value = self.template(frame, t.value) if t.kind == "template" else terms.strip(terms.present(field_of(frame, t.value)))
-        return terms.iri(value)
+        return terms.iri(self.template(source, t.value) if t.kind == "template" else self.value(source, t.value).reference)
 
-    def object(self, t: TermMap, frame: DataFrame) -> Column:
+    def object(self, t: TermMap, source: LogicalSource) -> Column:
         if t.kind == "constant":
             return F.lit(terms.object_constant(t.value, t.datatype))
         suffix = None
         if t.language:
             suffix = F.lit(terms.language_suffix(t.language)) if t.kind == "reference" else None
         elif t.language_map:
-            suffix = terms.language_column(field_of(frame, t.language_map))
+            suffix = terms.language_column(self.value(source, t.language_map).reference)
         if t.kind == "template":
-            return terms.object_template(self.template(frame, t.value), t.term_type, t.datatype, suffix)
-        return terms.object_reference(field_of(frame, t.value), t.term_type, t.datatype, suffix)
+            return terms.object_template(self.template(source, t.value), t.term_type, t.datatype, suffix)
+        return terms.object_reference(self.value(source, t.value).reference, t.term_type, t.datatype, suffix)
 
-    def graph(self, text: str, frame: DataFrame) -> Column:
-        return terms.iri(self.template(frame, text))
+    def graph(self, text: str, source: LogicalSource) -> Column:
+        return terms.iri(self.template(source, text))
 
     # statements
 
     def branches(self, m: TriplesMap, frame: DataFrame) -> list[Branch]:
         """All statements of a map over the rows of ``frame``."""
         plain = m.subject.kind != "quoted"
-        graphs = [self.graph(g, frame) for g in m.graphs] or [F.lit(None).cast("string")]
-        subjects = [Terms(frame, self.subject(m, frame))] if plain else self.quoted_terms(m, m.subject, frame)
+        graphs = [self.graph(g, m.source) for g in m.graphs] or [F.lit(None).cast("string")]
+        subjects = [Terms(frame, self.subject(m))] if plain else self.quoted_terms(m, m.subject, frame)
         out: list[Branch] = []
         for s in subjects:
             here: list[Column] = []
             if plain and m.classes:
                 here.append(F.array(*[_statement(s.value, F.lit(TYPE), F.lit(f"<{c}>"), g) for c in m.classes for g in graphs]))
             for pom in m.poms:
-                p = self.predicate(pom.predicate, s.frame)
+                p = self.predicate(pom.predicate, m.source)
                 # a map's own graphs hold all its statements; a predicate's graph holds one more
-                gs = graphs + [self.graph(g, s.frame) for g in pom.graphs]
+                gs = graphs + [self.graph(g, m.source) for g in pom.graphs]
                 if pom.object.kind == "parent":
                     objects = self.parent_terms(m, pom.object, s.frame) if plain else []
                 elif pom.object.kind == "quoted":
                     objects = self.quoted_terms(m, pom.object, s.frame)
                 else:
-                    objects = [Terms(s.frame, self.object(pom.object, s.frame))]
+                    objects = [Terms(s.frame, self.object(pom.object, m.source))]
                 for o in objects:
                     made = _combine(s, p, o, gs)
                     if o.frame is s.frame:
@@ -189,7 +222,7 @@ class Compiler:
         if not t.joins:  # another source without a condition gives nothing
             return []
         made = self.producer(producer, tuple(p for _, p in t.joins))
-        joined, column = self.join(frame, made, [c for c, _ in t.joins])
+        joined, column = self.join(frame, made, m.source, [c for c, _ in t.joins])
         return [Terms(joined, F.array(column), True)]
 
     def parent_terms(self, m: TriplesMap, t: TermMap, frame: DataFrame) -> list[Terms]:
@@ -197,17 +230,17 @@ class Compiler:
         if other.subject.kind == "quoted":
             return []
         if other.source == m.source and all(c == p for c, p in t.joins):  # the same row
-            return [Terms(frame, self.subject(other, frame))]
+            return [Terms(frame, self.subject(other))]
         if not t.joins:
             return []
         rows = self.source(other.source)
-        keys = self.keys(rows, [p for _, p in t.joins])
-        made = rows.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], self.subject(other, rows).alias("term")).where("term is not null").distinct()
-        joined, column = self.join(frame, made, [c for c, _ in t.joins])
+        keys = self.keys(other.source, [p for _, p in t.joins])
+        made = rows.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], self.subject(other).alias("term")).where("term is not null").distinct()
+        joined, column = self.join(frame, made, m.source, [c for c, _ in t.joins])
         return [Terms(joined, column)]
 
-    def keys(self, frame: DataFrame, names: list[str]) -> list[Column]:
-        columns = [terms.present(field_of(frame, n)) for n in names]
+    def keys(self, source: LogicalSource, names: list[str]) -> list[Column]:
+        columns = [self.value(source, n).key for n in names]
         return [terms.composite_key(*columns)] if self.options.legacy_composite_key and len(columns) > 1 else columns
 
     def producer(self, m: TriplesMap, key_names: tuple[str, ...]) -> DataFrame:
@@ -217,7 +250,7 @@ class Compiler:
             rows = self.source(m.source)
             parts = []
             for b in self.branches(m, rows):
-                keys = self.keys(b.frame, list(key_names))
+                keys = self.keys(m.source, list(key_names))
                 flat = b.frame.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.explode(b.statements).alias("x")).where("x.s is not null and x.p is not null and x.o is not null")
                 parts.append(flat.select(*[f"k{i}" for i in range(len(keys))], terms.quoted(F.col("x.s"), F.col("x.p"), F.col("x.o")).alias("term")))
             made = reduce(DataFrame.unionByName, parts).distinct()
@@ -227,10 +260,10 @@ class Compiler:
             self.producers[shape] = made
         return self.producers[shape]
 
-    def join(self, frame: DataFrame, made: DataFrame, child: list[str]) -> tuple[DataFrame, Column]:
+    def join(self, frame: DataFrame, made: DataFrame, source: LogicalSource, child: list[str]) -> tuple[DataFrame, Column]:
         """Inner equality join of the rows of a frame with the terms under their key; which strategy is Spark's choice."""
         n = next(self.fresh)
-        keys = self.keys(frame, child)
+        keys = self.keys(source, child)
         right = made.toDF(*[f"__k{n}_{i}" for i in range(len(keys))], f"__t{n}")
         same = reduce(lambda a, b: a & b, [k == F.col(f"__k{n}_{i}") for i, k in enumerate(keys)])
         joined = frame.join(right, same, "inner").drop(*[f"__k{n}_{i}" for i in range(len(keys))])
