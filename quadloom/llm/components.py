@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import compact
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     table by node and is cut into the checkpoint folder; hub nodes are combined before the shuffle.
     """
     e = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
-    e = cut(e.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("a") != F.col("b"))).distinct())
+    e = compact(e.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("a") != F.col("b"))).distinct())
     seen = None
     while True:
         sums = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen or not sums[0]:
             break
         seen = tuple(sums)
-        e = cut(_small_star(_large_star(e)))
+        e = compact(_small_star(_large_star(e)))
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

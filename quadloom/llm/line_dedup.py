@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link_buckets
-from .runtime import cut, ship, small
+from .runtime import compact, cut, ship, small
 from .shingles import BoundedCache
 
 
@@ -151,13 +151,13 @@ def near_lines(docs: DataFrame, lines: DataFrame, threshold: int = 2, min_near:
     held = index.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     probed = _keys(docs, threshold, min_near, False).join(held, "bucket").where("lo <> node or hi <> node").select("bucket", "node")
     # both parts read the same exchange of index entries
-    found = cut(probed.unionByName(held.where("lo <> hi").select("bucket", F.lit(None).cast("long").alias("node"))).distinct())
-    shared = cut(found.select("bucket").distinct())
+    found = compact(probed.unionByName(held.where("lo <> hi").select("bucket", F.lit(None).cast("long").alias("node"))).distinct())
+    shared = compact(found.select("bucket").distinct())
     entries = index.join(small(shared), "bucket", "left_semi").withColumn("indexed", F.lit(1))
-    rows = cut(entries.unionByName(found.where("node is not null").withColumn("indexed", F.lit(0))).groupBy("bucket", "node").agg(F.max("indexed").alias("indexed")))
+    rows = compact(entries.unionByName(found.where("node is not null").withColumn("indexed", F.lit(0))).groupBy("bucket", "node").agg(F.max("indexed").alias("indexed")))
 
     # the lines that meet another in some bucket: read once, for all that follows
-    met_nodes = cut(rows.select("node").distinct())
+    met_nodes = compact(rows.select("node").distinct())
     texts = cut(lines.join(small(met_nodes), "node", "left_semi").select("node", "line").groupBy("node").agg(F.first("line").alias("line")))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -194,9 +194,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # one row a line and task is shuffled, however often a line occurs
     seen = places.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     comp = near_lines(base, lines, threshold, min_near)
-    repeated = cut(seen.join(small(comp), "node", "left").where("n > 1 or comp is not null").select("node", F.coalesce("comp", "node").alias("class"), "first_doc"))
+    repeated = compact(seen.join(small(comp), "node", "left").where("n > 1 or comp is not null").select("node", F.coalesce("comp", "node").alias("class"), "first_doc"))
     first = repeated.groupBy("class").agg(F.min("first_doc").alias("first_doc"))
-    repeated = cut(repeated.select("node", "class").join(first, "class"))
+    repeated = compact(repeated.select("node", "class").join(first, "class"))
     hits = cut(places.join(small(repeated), "node").select("doc_id", "pos", "class", "first_doc"))
     kept = hits.where("doc_id = first_doc").groupBy("class").agg(F.min("pos").alias("kept_pos"))
     dropped = hits.join(small(kept), "class").where("doc_id <> first_doc or pos <> kept_pos")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, small
+from .runtime import compact, cut, small
 
 #: Buckets up to SMALL are checked pair by pair. About CHUNK nodes outside the largest class are compared at once.
 SMALL, CHUNK = 8, 64
@@ -73,18 +73,18 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payl
     """
     entry = F.when(F.col("indexed") == 1, F.col("node"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(entry).alias("next")).where("n > 1 and next is not null")
-    members = cut(rows.join(sizes, "bucket").select("bucket", "node", "indexed", "n", "next", F.col("node").alias("comp")))
+    members = compact(rows.join(sizes, "bucket").select("bucket", "node", "indexed", "n", "next", F.col("node").alias("comp")))
     large = F.col("n") > SMALL
     first = _pairs_within(members.where(~large)).unionByName(_pairs_with(members.where(large))).distinct()
-    links = cut(verify(cut(first)))
+    links = compact(verify(compact(first)))
     comp = components(links)
     live = members.where(large).select("bucket", "node", "indexed")
     live = live.join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = live.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    live = cut(live.join(apart, "bucket"))
+    live = compact(live.join(apart, "bucket"))
     if not live.isEmpty():
         pairs = _pairs_apart(live, payloads(live.select("node").distinct()), near)
-        more = cut(verify(cut(pairs.join(links, ["a", "b"], "left_anti"))))
+        more = compact(verify(compact(pairs.join(links, ["a", "b"], "left_anti"))))
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link_buckets
-from .runtime import cut, ship, small
+from .runtime import compact, cut, ship, small
 from .shingles import mix64, shingle_hashes
 
 
@@ -128,7 +128,7 @@ def ngram_join(
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.lit(1).alias("indexed"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+        wanted = compact(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
         sets = _gram_sets(known.join(small(wanted), "doc_id", "left_semi"), words)
         met = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         shared = F.size(F.array_intersect("ga", "gb"))
