@@ -34,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that with the least id."""
-    classes = ngram_join.ngram_join(docs)
+    classes = ngram_join.ngram_join(docs, count_links=False)
     copies = cut(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct())
     return docs.join(small(copies), F.col("doc_id") == F.col("__id"), "left_anti").select(*COLUMNS)
 

@@ -2,7 +2,7 @@
 
 MinHash with banding: the numbers of bands and rows follow from the recall that is asked for at the threshold. Equal
 n-gram sets are one node from the start, so copies never meet each other. Nodes are shuffled on band hashes, candidates
-are verified on their full n-gram sets.
+are verified on their full n-gram sets. Links are then counted within each class, by comparing its full sets in chunks.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from .linking import link_buckets
 from .runtime import compact, cut, ship, small
 from .shingles import mix64, shingle_hashes
 
+#: About as many n-grams has a chunk of a class. A set counts as LEAST_GRAMS at least, so a chunk's sets are bounded too.
+CHUNK_GRAMS, LEAST_GRAMS = 1 << 18, 128
+COLUMNS = 2048
+
 
 def band_layout(threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256) -> tuple[int, int]:
     """Bands and rows: the most selective layout of at most ``max_hashes`` hashes that finds a pair at the threshold with ``recall``."""
@@ -80,7 +84,7 @@ def near_sketches(threshold: float, bands: int, hashes: int):
 
 
 def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, k1, k2, bands, sketch``: a 128-bit name of the n-gram set, its band hashes, and these with the bytes of its minima."""
+    """``doc_id, k1, k2, size, bands, sketch``: a 128-bit name of the n-gram set, its size, its band hashes, and these with the bytes of its minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,32 +94,106 @@ def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
                 keys, sketch = signatures(sets, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), lists, pa.array([k.tobytes() + x.tobytes() for k, x in zip(keys, sketch, strict=True)], pa.binary())], ["doc_id", "k1", "k2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int64()), lists, pa.array([k.tobytes() + x.tobytes() for k, x in zip(keys, sketch, strict=True)], pa.binary())], ["doc_id", "k1", "k2", "size", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, size long, bands array<long>, sketch binary")
 
 
 def _gram_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``node, grams`` of ``doc_id, text``; further columns, which are longs, stay."""
+    more = docs.columns[2:]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 sets = [shingle_hashes(t.as_py(), words).view(np.int64) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets))), *part.columns[2:]], ["node", "grams", *more])
+
+    return docs.mapInArrow(run, ", ".join(["node long", "grams array<long>", *(f"{c} long" for c in more)]))
+
 
-    return docs.mapInArrow(run, "node long, grams array<long>")
+def near_matrix(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets of ``a`` are near which sets of ``b`` (which may be ``a`` itself), as a matrix of booleans.
+
+    The sizes of all intersections are one product of matrices. N-grams that the same sets hold are one column with a
+    weight, and those of one side only are none, so near copies need few columns however many they are.
+    """
+    sets, n = (a if b is a else a + b), len(a)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    size_b = sizes if b is a else sizes[n:]
+    shared = np.zeros((n, len(b)))
+    grams, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    held_by = np.zeros(len(grams), np.uint64)
+    np.add.at(held_by, column, mix64(np.arange(1, len(sets) + 1, dtype=np.uint64))[row])
+    _, sample, kind, weight = np.unique(held_by, return_index=True, return_inverse=True, return_counts=True)
+    kept = sample[kind[column]] == column
+    row, column = row[kept], kind[column[kept]]
+    left = np.bincount(column[row < n], minlength=len(weight))
+    useful = left > 1 if b is a else (left > 0) & (np.bincount(column[row >= n], minlength=len(weight)) > 0)
+    place = np.cumsum(useful) - 1
+    row, column, weight = row[useful[column]], place[column[useful[column]]], weight[useful].astype(np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, len(weight), COLUMNS):
+        at = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+        block = np.zeros((len(sets), min(COLUMNS, len(weight) - lo)), np.float32)
+        block[row[at], column[at] - lo] = 1
+        shared += (block[:n] * weight[lo : lo + COLUMNS]) @ (block if b is a else block[n:]).T
+    if b is a:
+        np.fill_diagonal(shared, sizes)
+    return shared >= threshold * (sizes[:n, None] + size_b[None, :] - shared)
+
+
+def _links_of(table: pa.Table, threshold: float) -> pa.Table:
+    """``node, others`` for two chunks of a class, or one and itself: the copies of the sets that are near a node's."""
+    grams = table["grams"].combine_chunks()
+    ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+    chunk, node, copies = (table[c].to_numpy() for c in ("chunk", "node", "copies"))
+    sides: list[dict[tuple, int]] = [{}, {}]
+    for i in range(table.num_rows):  # rows that repeat an id and a text are here once
+        sides[int(chunk[i] != chunk[0])].setdefault((node[i], flat[ends[i] : ends[i + 1]].tobytes()), i)
+    one, two = (np.array(list(s.values()), np.int64) for s in sides)
+    if table["lo"][0] != table["hi"][0] and not len(two):  # the other chunk is empty
+        return pa.table({"node": pa.array([], pa.int64()), "others": pa.array([], pa.int64())})
+    two = two if len(two) else one
+    a = [flat[ends[i] : ends[i + 1]] for i in one]
+    near = near_matrix(a, a if two is one else [flat[ends[i] : ends[i + 1]] for i in two], threshold)
+    near &= node[one][:, None] != node[two][None, :]
+    out = [(node[one], near @ copies[two])] + ([] if two is one else [(node[two], near.T @ copies[one])])
+    return pa.table({"node": pa.array(np.concatenate([x for x, _ in out])), "others": pa.array(np.concatenate([y for _, y in out]).astype(np.int64))})
+
+
+def _count_links(known: DataFrame, nodes: DataFrame, comp: DataFrame, words: int, threshold: float) -> DataFrame:
+    """``node, others``: of each node with a link, the number of documents with other n-gram sets that are near its own.
+
+    A class is dealt by hash into chunks of about ``CHUNK_GRAMS``; each two chunks meet in one worker, which returns a
+    sum for each member and no pairs. So a task is bounded whatever the size of a class, all its links count, and what
+    is shuffled is its n-grams times the number of its chunks.
+    """
+    members = cut(nodes.join(small(comp), "node").select("node", "comp", "copies", "size"))
+    sizes = members.groupBy("comp").agg(F.ceil(F.sum(F.greatest("size", F.lit(LEAST_GRAMS))) / CHUNK_GRAMS).alias("chunks"))
+    placed = members.groupBy("node", "comp").agg(F.sum("copies").alias("copies")).join(small(sizes), "comp")
+    placed = compact(placed.select(F.col("node").alias("doc_id"), "comp", "copies", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks"))
+    sets = _gram_sets(known.join(small(placed), "doc_id").select("doc_id", "text", "comp", "copies", "chunk", "chunks"), words)
+    met = sets.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    met = met.select("node", "grams", "copies", "chunk", "comp", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"))
+    # tasks are few bytes and much work: they keep their number
+    met = met.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), "comp", "lo", "hi")
+    return met.groupBy("comp", "lo", "hi").applyInArrow(lambda t: _links_of(t, threshold), "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
 
 
 def ngram_join(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256, count_links: bool = True
 ) -> DataFrame:
     """``doc_id, class_id, n_links`` for each row of ``docs``.
 
-    ``class_id`` is the least id among the documents that links connect. ``n_links`` counts the other documents with
-    which a verified link (or an equal n-gram set) joins it; in candidate groups of more than eight different texts,
-    only as many links are sought as connect them. A text of fewer than ``words`` words is one n-gram; null, empty and
-    blank texts are copies of each other. Rows that repeat an id are one document. Rows with a null id have a null class
+    ``class_id`` is the least id among the documents that links connect. ``n_links`` counts all other documents whose
+    n-gram set is equal or at least as near as the threshold, copies included; without ``count_links`` this column and
+    its work are left out. A text of fewer than ``words`` words is one n-gram; null, empty and
+    blank texts are copies of each other. Rows that repeat an id are one document, whose rows all count as copies. Rows with a null id have a null class
     and no links. Other columns are ignored; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
@@ -124,7 +202,7 @@ def ngram_join(
     known = base.where("doc_id is not null")
     signed = cut(_sign(known, words, bands, rows))
     # one node for each n-gram set; its name is the least id that has it
-    nodes = cut(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    nodes = cut(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.lit(1).alias("indexed"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -137,12 +215,12 @@ def ngram_join(
     def sketches(wanted: DataFrame) -> DataFrame:
         return nodes.select("node", F.col("sketch").alias("payload")).join(small(wanted), "node", "left_semi")
 
-    links, comp = link_buckets(buckets, verify, sketches, near_sketches(threshold, bands, bands * rows))
-    copies = nodes.select("node", "copies")
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    linked = ends.join(copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
-    classes = nodes.select("k1", "k2", "node", "copies").join(comp, "node", "left").join(linked, "node", "left")
-    classes = classes.select("k1", "k2", F.coalesce("comp", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
-    lost = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    comp = link_buckets(buckets, verify, sketches, near_sketches(threshold, bands, bands * rows))[1]
+    classes = nodes.select("k1", "k2", "node", "copies").join(comp, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))
+    lost = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
+    if count_links:
+        classes = classes.join(_count_links(known, nodes, comp, words, threshold), "node", "left")
+        classes = classes.withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        lost = lost.withColumn("n_links", F.lit(0).cast("long"))
+    out = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select(*lost.columns)
     return out.unionByName(lost).withColumnRenamed("doc_id", id_col)

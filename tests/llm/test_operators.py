@@ -229,13 +229,49 @@ def brute_classes(rows, threshold=0.8):
     return {d: find(d) for d in sets}
 
 
+def brute_links(rows, threshold=0.8):
+    sets = {d: set(shingle_hashes(t).tolist()) for d, t in rows}
+    return {a: sum(a != b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) for b in sets) for a in sets}
+
+
 def test_join_finds_all_classes(spark):
     rows = near_groups(random.Random(3))
     out = {r.doc_id: r for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute_classes(rows)
     assert {d: r.class_id for d, r in out.items()} == want
-    sizes = Counter(want.values())
-    assert all((r.n_links > 0) == (sizes[want[d]] > 1) for d, r in out.items())
+    assert {d: r.n_links for d, r in out.items()} == brute_links(rows)
+
+
+@pytest.mark.parametrize("grams", [ngram_join.CHUNK_GRAMS, 600])
+def test_join_counts_all_links(spark, monkeypatch, grams):
+    """A chained class of many different texts, in one chunk and in several."""
+    monkeypatch.setattr(ngram_join, "CHUNK_GRAMS", grams)
+    rng = random.Random(11)
+    words, rows = prose(rng, 70).split(), []
+    for d in range(90):
+        if rng.random() < 0.3:
+            words[rng.randrange(len(words))] = f"w{d}"
+        rows.append((d, " ".join(words)))
+    rows += [(200 + d, prose(rng, 30)) for d in range(10)] + [(7, rows[7][1]), (300, None)]
+    out = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    twice = rows[7][1]  # the row that repeats counts as a copy
+    want = brute_links(rows[:-2] + [(1000, twice), (300, None)])
+    got = {r.doc_id: r.n_links for r in out.collect()}
+    assert got == {d: n for d, n in want.items() if d != 1000} and max(got.values()) > 8
+    assert ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), count_links=False).columns == ["doc_id", "class_id"]
+
+
+def test_near_matrix():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 60)
+    sets = [np.unique(np.r_[base[rng.random(60) < 0.95], rng.integers(0, 1 << 62, rng.integers(0, 6))]) for _ in range(40)] + [np.unique(rng.integers(0, 1 << 62, 9))]
+
+    def near(x, y):
+        both = len(np.intersect1d(x, y))
+        return both >= 0.8 * (len(x) + len(y) - both)
+
+    for a, b in ((sets, sets), (sets[:17], sets[17:])):
+        assert ngram_join.near_matrix(a, b, 0.8).tolist() == [[near(x, y) for y in b] for x in a]
 
 
 def test_band_layout():
