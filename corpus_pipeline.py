@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import decontaminate, language_id, line_dedup, ngram_join, packing
-from quadloom.llm.queries import with_length_and_cluster
+from quadloom.llm.queries import NEAR_LINE_CHARS, with_length_and_cluster
 from quadloom.llm.runtime import cut, shared_dir, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that occur before; documents of which nothing is left go."""
-    kept = line_dedup.dedup_lines(docs).where("lines_dropped = 0 or trim(text) <> ''")
+    kept = line_dedup.dedup_lines(docs, min_near=NEAR_LINE_CHARS).where("lines_dropped = 0 or trim(text) <> ''")
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

@@ -10,6 +10,9 @@ from . import chat, decontaminate, fingerprints, html_extract, language_id, line
 #: Where the public tokenizer files are; a module of this name gives their paths.
 TOKENIZERS = "public_tokenizers"
 
+#: Lines of so many characters or more are matched within 2 edits, in op6 and in the pipeline.
+NEAR_LINE_CHARS = 30
+
 
 def tokenizer_file(name: str) -> str:
     import importlib
@@ -48,7 +51,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_near=NEAR_LINE_CHARS)
     return kept.select("doc_id", "lines_dropped", F.char_length("text").cast("long").alias("n_chars"), "text")
 
 

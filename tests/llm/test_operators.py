@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quadloom.llm import chat, decontaminate, fingerprints, html_extract, language_id, line_dedup, ngram_join, packing, queries, sstable, token_counts
 from quadloom.llm.components import components
 from quadloom.llm.shingles import BoundedCache, shingle_hashes
@@ -358,6 +359,21 @@ def test_lines_against_brute_force(spark):
     assert got == want
 
 
+def test_lines_near_from_thirty_characters(spark, tmp_path):
+    rng = random.Random(8)
+    texts = []
+    for n in range(28, 52):
+        line = "".join(rng.choice("abcdefgh") for _ in range(n))
+        texts += [line, f"{line[: n // 2]}+{line[n // 2 + 1 : -1]}.", line[:9] + line[10:]]  # two substitutions, a deletion
+    spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in enumerate(texts)], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    near = lambda x, y: min(len(x), len(y)) >= 30 and levenshtein(x, y) <= 2
+    want = {d: int(any(near(t, u) for u in texts[:d])) for d, t in enumerate(texts)}
+    assert [want[d] for d in range(9)] == [0, 0, 0, 0, 0, 0, 0, 1, 0]
+    assert {r.doc_id: r.lines_dropped for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == {d for d, n in want.items() if not n}
+
+
 # token output
 
 
