@@ -79,7 +79,7 @@ class Matcher:
         for last, (size, places) in self.automaton.iter(text):
             for k, at in places:
                 start = last - size + 1 - at
-                if start < done.get(k, -1) or (k, start) in refused:
+                if start < done.get(k, start) or (k, start) in refused:  # a text that lacks an item's start has hits below 0
                     continue
                 _, item, edits = self.items[k]
                 if text.startswith(item, start) if start >= 0 else False:

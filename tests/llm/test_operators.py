@@ -439,6 +439,21 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.drop_leaks(corpus, bench).count() == 40
 
 
+def test_leaks_cut_at_the_ends_of_a_text():
+    rng = random.Random(9)
+    item = prose(rng, 45)
+    edits = decontaminate.budget(item, 0.08, 14)
+    matcher = decontaminate.Matcher([(1, item)], 0.08, 14)
+    other = " " + prose(rng, 60)
+    assert edits > 10
+    for n in range(edits + 1):
+        for text in (item[n:], item[n:] + other, item[: len(item) - n], other[1:] + " " + item[: len(item) - n]):
+            least, _ = decontaminate.best_match(item, text)
+            assert least <= n and [x[:2] for x in matcher.find(text)] == [(1, least)]
+    twice = item[3:] + other + " " + item
+    assert matcher.find(twice) == [(1, 0, 2)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab", min_size=1, max_size=8), st.text("ab", max_size=12))
 def test_best_match(pattern, text):
