@@ -63,12 +63,12 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarra
 
 
 def near_sketches(threshold: float, bands: int, hashes: int):
-    """Whether the bytes of minima agree as often as at the threshold, less 3.5 standard deviations.
+    """Whether the bytes of minima agree as often as at the threshold, less 4 standard deviations.
 
     A payload is the band hashes followed by the bytes. A pair counts in the first of the buckets that it shares only:
     where that one is small, it has been verified before.
     """
-    least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / hashes)
+    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / hashes)
 
     def near(bucket: int, one: bytes, others: list[bytes]) -> list[bool]:
         if not others:

@@ -275,6 +275,16 @@ def test_near_matrix():
         assert ngram_join.near_matrix(a, b, 0.8).tolist() == [[near(x, y) for y in b] for x in a]
 
 
+def test_sketches_are_kept_to_four_deviations():
+    bands, rows = ngram_join.band_layout()
+    hashes = bands * rows
+    keys = np.arange(bands, dtype=np.int64).tobytes()
+    one = keys + bytes(hashes)
+    least = int(np.ceil(hashes * (0.8 - 4 * (0.8 * 0.2 / hashes) ** 0.5)))
+    others = [keys + bytes(k) + b"\1" * (hashes - k) for k in range(least, hashes + 1)]
+    assert all(ngram_join.near_sketches(0.8, bands, hashes)(0, one, others))
+
+
 def test_band_layout():
     bands, rows = ngram_join.band_layout(0.8, 0.999, 256)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 256
