@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link_buckets
-from .runtime import compact, cut, ship, small
+from .linking import link_buckets, with_values
+from .runtime import compact, cut, fresh, ship, small
 from .shingles import BoundedCache
 
 
@@ -93,9 +93,14 @@ def edit_distance_within(a: str, b: str, threshold: int) -> int | None:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, pos, line, node`` of every line of ``min_chars`` characters or more, trimmed."""
-    raw = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return raw.select("doc_id", "pos", F.trim("raw").alias("line")).where(F.char_length("line") >= min_chars).withColumn("node", F.xxhash64("line"))
+    """``id, none, row, pos, line, node, check`` of every line of ``min_chars`` characters or more, trimmed; a line's identity is the 128 bits of node and check."""
+    raw = docs.select("id", "none", "row", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = raw.select("id", "none", "row", "pos", F.trim("raw").alias("line")).where(F.char_length("line") >= min_chars)
+    return lines.withColumn("node", F.xxhash64("line")).withColumn("check", _check("line"))
+
+
+def _check(line: str) -> Column:
+    return F.xxhash64(F.lit(7), line)
 
 
 def _keys(docs: DataFrame, threshold: int, min_near: int, index: bool) -> DataFrame:
@@ -140,11 +145,13 @@ def _keys(docs: DataFrame, threshold: int, min_near: int, index: bool) -> DataFr
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, threshold: int = 2, min_near: int | None = None) -> DataFrame:
-    """Components ``node, comp`` of different lines within ``threshold`` edits of each other.
+    """``node, check, comp``: components of different lines within ``threshold`` edits of each other.
 
-    Lines shorter than ``min_near`` (sixteen characters a segment) only match exactly.
+    ``docs`` has the column text, ``lines`` is what ``_lines`` makes of it. Lines shorter than ``min_near`` (ten
+    characters a segment) match only exactly, and are not here. Null and empty texts have no lines, repeats of a line are
+    one node, an empty table gives an empty result.
     """
-    min_near = min_near or 16 * (threshold + 1)
+    min_near = min_near or 10 * (threshold + 1)
     # the filter is what the join below asks for anyway: with it, both uses of the entries are one exchange
     index = _keys(docs, threshold, min_near, True).where("bucket is not null")
     # keys that only one line has need no list: its least and greatest node are the same
@@ -158,50 +165,59 @@ def near_lines(docs: DataFrame, lines: DataFrame, threshold: int = 2, min_near:
 
     # the lines that meet another in some bucket: read once, for all that follows
     met_nodes = compact(rows.select("node").distinct())
-    texts = cut(lines.join(small(met_nodes), "node", "left_semi").select("node", "line").groupBy("node").agg(F.first("line").alias("line")))
+    texts = cut(lines.join(small(met_nodes), "node", "left_semi").select("node", "line").groupBy("node").agg(F.first("line").alias("value")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 near = [edit_distance_within(x, y, threshold) is not None for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-        return met.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long")
+        return with_values(pairs, texts).mapInArrow(check, "a long, b long")
 
     def payloads(wanted: DataFrame) -> DataFrame:
-        return texts.join(small(wanted), "node", "left_semi").select("node", F.col("line").alias("payload"))
+        return texts.join(small(wanted), "node", "left_semi").select("node", F.col("value").alias("payload"))
 
     def near(bucket: int, one: str, others: list[str]) -> list[bool]:
         return [edit_distance_within(one, other, threshold) is not None for other in others]
 
-    return link_buckets(rows, verify, payloads, near)[1]
+    comp = link_buckets(rows, verify, payloads, near)[1]
+    return texts.join(small(comp), "node").select("node", _check("value").alias("check"), "comp")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 10, min_near: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and ``lines_dropped``.
 
     Of each class of lines (equal after trimming, or joined by edits within ``threshold``) the first stays: that of the
-    least id, and there the first in the text. Lines under ``min_chars`` characters always stay. Null texts stay null and
-    empty ones empty; rows that repeat an id are one document; rows with a null id are returned as they are and take no
-    part; an empty table gives an empty result. Line identity is a 64-bit hash. Columns of ``docs`` keep their places.
+    least id (null ids come last), among rows that repeat the id that of the text with the least hash, and there the
+    first in the text. So a row is a document, whether its id is null, repeated or its own; only rows that are equal in
+    id and text are one document, and keep the same lines. Lines under ``min_chars`` characters always stay, and lines
+    under ``min_near`` (default: ten characters a segment) are only compared exactly. Null texts stay null and empty ones
+    empty; an empty table gives an empty result. Columns of ``docs`` keep their places; one named ``lines_dropped`` is
+    replaced.
     """
     ship(docs.sparkSession)
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.col(id_col).isNull(), F.xxhash64(text)]
+    base = docs.where(F.col(text_col).isNotNull()).select(*(k.alias(n) for k, n in zip(key, ("id", "none", "row"), strict=True)), text.alias("text"))
     lines = _lines(base, min_chars)
-    places = lines.select("doc_id", "pos", "node")
+    places = lines.select("id", "none", "row", "pos", "node", "check")
     # one row a line and task is shuffled, however often a line occurs
-    seen = places.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    seen = places.groupBy("node", "check").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     comp = near_lines(base, lines, threshold, min_near)
-    repeated = compact(seen.join(small(comp), "node", "left").where("n > 1 or comp is not null").select("node", F.coalesce("comp", "node").alias("class"), "first_doc"))
-    first = repeated.groupBy("class").agg(F.min("first_doc").alias("first_doc"))
-    repeated = compact(repeated.select("node", "class").join(first, "class"))
-    hits = cut(places.join(small(repeated), "node").select("doc_id", "pos", "class", "first_doc"))
-    kept = hits.where("doc_id = first_doc").groupBy("class").agg(F.min("pos").alias("kept_pos"))
-    dropped = hits.join(small(kept), "class").where("doc_id <> first_doc or pos <> kept_pos")
-    drops = dropped.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("pos").alias("__drop"))
-    left = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x, i: ~F.array_contains("__drop", i))
-    out = docs.join(drops, F.col(id_col).cast("long") == F.col("__id"), "left")
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return out.withColumn(text_col, text).withColumn("lines_dropped", F.coalesce(F.size("__drop"), F.lit(0))).drop("__id", "__drop")
+    repeated = compact(seen.join(small(compact(comp)), ["node", "check"], "left").where("n > 1 or comp is not null").select("node", "check", F.coalesce("comp", "node").alias("class"), F.when(F.col("comp").isNull(), F.col("check")).otherwise(0).alias("part"), "first_id"))
+    first = repeated.groupBy("class", "part").agg(F.min("first_id").alias("first_id"))
+    repeated = compact(repeated.select("node", "check", "class", "part").join(first, ["class", "part"]))
+    hits = cut(places.join(small(repeated), ["node", "check"]).select("id", "none", "row", "pos", "class", "part", "first_id"))
+    kept = hits.where("id = first_id").groupBy("class", "part").agg(F.min(F.struct("none", "row", "pos")).alias("kept"))
+    dropped = hits.join(small(compact(kept)), ["class", "part"]).where((F.col("id") != F.col("first_id")) | (F.struct("none", "row", "pos") != F.col("kept")))
+    drops = cut(dropped.groupBy("id", "none", "row").agg(F.array_sort(F.collect_set("pos")).alias("at")))
+    # for each line up to the last that goes, whether it stays
+    gap = lambda i: F.get("at", i) - F.when(i == 0, -1).otherwise(F.get("at", i - 1)) - 1
+    stays = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - 1), lambda i: F.concat(F.array_repeat(F.lit(True), gap(i)), F.array(F.lit(False)))))
+    names = fresh(docs, "id", "none", "row", "stays", "gone")
+    drops = drops.select("id", "none", "row", stays, F.size("at")).toDF(*names)
+    out = docs.join(drops, [k == F.col(n) for k, n in zip(key, names, strict=False)], "left")
+    left = F.filter(F.split(text, "\n"), lambda x, i: F.coalesce(F.get(F.col(names[3]), i), F.lit(True)))
+    out = out.withColumn(text_col, F.when(F.col(names[3]).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
+    return out.withColumn("lines_dropped", F.coalesce(F.col(names[4]), F.lit(0))).drop(*names)

@@ -30,11 +30,32 @@ def _pairs_within(members: DataFrame) -> DataFrame:
     return groups.select(F.explode(pair).alias("p")).select("p.a", "p.b")
 
 
-def _pairs_with(members: DataFrame) -> DataFrame:
-    """Every member with its bucket's pivot (column ``next``), if it is of another class."""
-    pivots = members.where("node = next").select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
-    met = members.select("bucket", "node", "comp").join(pivots, "bucket").where("node <> pivot and comp <> pivot_comp")
-    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+def _pairs_with_pivot(members: DataFrame) -> DataFrame:
+    """Every member as ``b`` with its bucket's pivot as ``a``; a pair may stand in both orders."""
+    return members.where("node <> next").select(F.col("next").alias("a"), F.col("node").alias("b"))
+
+
+def with_values(pairs: DataFrame, values: DataFrame, rows: int = 4096) -> DataFrame:
+    """``a, b, va, vb``: pairs beside the ``value`` of both nodes (``values``: node, value). ``pairs`` has been cut.
+
+    A pivot is in as many pairs as its bucket has members. Where a node is in more than ``rows``, the value of the other
+    one is joined first, once a pair, and the pairs of the node are then dealt by a salt: its value goes once to each
+    ``rows`` of them.
+    """
+    value = lambda node, name: values.select(F.col("node").alias(node), F.col("value").alias(name))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / rows).alias("salts")).where("salts > 1")
+    hubs = cut(hubs) if pairs.count() > rows else None
+    met = pairs.join(value("b", "vb"), "b")
+    if hubs is None or hubs.isEmpty():
+        return met.join(value("a", "va"), "a").select("a", "b", "va", "vb")
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    met = met.join(small(hubs), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts)).drop("salts")
+    dealt = value("a", "va").join(small(hubs), "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return met.join(dealt, ["a", "salt"]).select("a", "b", "va", "vb")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _pairs_apart(live: DataFrame, payloads: DataFrame, near: Callable[[int, object, list], list[bool]]) -> DataFrame:
@@ -67,7 +88,7 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payl
     """Verified links ``a, b`` and the components ``node, comp`` of nodes that have a link.
 
     ``rows``: ``bucket, node, indexed`` (two longs, 0 or 1; distinct). Of two members at least one must be indexed.
-    ``verify`` keeps the linked ones of the pairs ``a, b`` (a < b). ``payloads`` gives ``node, payload`` for a table of
+    ``verify`` keeps the linked ones of the pairs ``a, b``. ``payloads`` gives ``node, payload`` for a table of
     nodes, ``near`` tells which payloads of a list may be linked with one in a bucket; ``verify`` has the last word. Buckets are
     counted with sums that are combined before the shuffle; only rows of buckets with two members or more go on.
     """
@@ -75,8 +96,8 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payl
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(entry).alias("next")).where("n > 1 and next is not null")
     members = compact(rows.join(sizes, "bucket").select("bucket", "node", "indexed", "n", "next", F.col("node").alias("comp")))
     large = F.col("n") > SMALL
-    first = _pairs_within(members.where(~large)).unionByName(_pairs_with(members.where(large))).distinct()
-    links = compact(verify(compact(first)))
+    first = _pairs_within(members.where(~large)).unionByName(_pairs_with_pivot(members.where(large))).distinct()
+    links = compact(_ordered(verify(compact(first))))
     comp = components(links)
     live = members.where(large).select("bucket", "node", "indexed")
     live = live.join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -84,7 +105,7 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payl
     live = compact(live.join(apart, "bucket"))
     if not live.isEmpty():
         pairs = _pairs_apart(live, payloads(live.select("node").distinct()), near)
-        more = compact(verify(compact(pairs.join(links, ["a", "b"], "left_anti"))))
+        more = compact(_ordered(verify(compact(pairs.join(links, ["a", "b"], "left_anti")))))
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links)

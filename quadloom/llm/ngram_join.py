@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link_buckets
-from .runtime import compact, cut, ship, small
+from .linking import link_buckets, with_values
+from .runtime import compact, cut, fresh, ship, small
 from .shingles import mix64, shingle_hashes
 
 #: About as many n-grams has a chunk of a class. A set counts as LEAST_GRAMS at least, so a chunk's sets are bounded too.
@@ -62,13 +62,12 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarra
     return key, sketch
 
 
-def near_sketches(threshold: float, bands: int, hashes: int):
-    """Whether the bytes of minima agree as often as at the threshold, less 4 standard deviations.
+def near_sketches(least: float, bands: int):
+    """Whether the bytes of minima of two sketches agree in a share of at least ``least``.
 
     A payload is the band hashes followed by the bytes. A pair counts in the first of the buckets that it shares only:
     where that one is small, it has been verified before.
     """
-    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / hashes)
 
     def near(bucket: int, one: bytes, others: list[bytes]) -> list[bool]:
         if not others:
@@ -83,35 +82,49 @@ def near_sketches(threshold: float, bands: int, hashes: int):
     return near
 
 
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """A 128-bit name of each n-gram set, as two longs."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+
+
 def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, k1, k2, size, bands, sketch``: a 128-bit name of the n-gram set, its size, its band hashes, and these with the bytes of its minima."""
+    """``doc_id, row, k1, k2, size, bands, sketch`` of ``doc_id, row, text``: the name of the n-gram set, its size, its band hashes, and these with the bytes of its minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [shingle_hashes(t.as_py(), words) for t in part.column(1)]
-                names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+                sets = [shingle_hashes(t.as_py(), words) for t in part.column(2)]
+                names = _names(sets)
                 keys, sketch = signatures(sets, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int64()), lists, pa.array([k.tobytes() + x.tobytes() for k, x in zip(keys, sketch, strict=True)], pa.binary())], ["doc_id", "k1", "k2", "size", "bands", "sketch"])
+                payload = pa.array([k.tobytes() + x.tobytes() for k, x in zip(keys, sketch, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int64()), lists, payload], ["doc_id", "row", "k1", "k2", "size", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, size long, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, row long, k1 long, k2 long, size long, bands array<long>, sketch binary")
 
 
-def _gram_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``node, grams`` of ``doc_id, text``; further columns, which are longs, stay."""
-    more = docs.columns[2:]
+def _gram_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``node, k1, k2, value`` and the other columns of ``wanted`` (longs; one row a node, with ``row`` and the set's name).
+
+    Only texts whose hash is that of a wanted node's representative are read into sets; each set must then have the name
+    that is wanted, so that texts of equal hashes are told apart. A text that occurs twice gives its node twice.
+    """
+    more = [c for c in wanted.columns if c not in ("row", "node", "k1", "k2")]
+    rows = docs.select("row", "text").join(small(wanted), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                sets = [shingle_hashes(t.as_py(), words).view(np.int64) for t in part.column(1)]
+                sets = [shingle_hashes(t.as_py(), words) for t in part.column(0)]
+                right = pa.array((_names(sets) == np.column_stack([part.column(2).to_numpy(), part.column(3).to_numpy()])).all(axis=1))
                 ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets))), *part.columns[2:]], ["node", "grams", *more])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(1), lists, *part.columns[4:]], ["node", "value", *more]).filter(right)
 
-    return docs.mapInArrow(run, ", ".join(["node long", "grams array<long>", *(f"{c} long" for c in more)]))
+    schema = ", ".join(["node long", "value array<long>", *(f"{c} long" for c in more)])
+    return rows.select("text", "node", "k1", "k2", *more).mapInArrow(run, schema)
 
 
 def near_matrix(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -149,12 +162,12 @@ def near_matrix(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> n
 
 def _links_of(table: pa.Table, threshold: float) -> pa.Table:
     """``node, others`` for two chunks of a class, or one and itself: the copies of the sets that are near a node's."""
-    grams = table["grams"].combine_chunks()
-    ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+    values = table["value"].combine_chunks()
+    ends, flat = values.offsets.to_numpy(), values.values.to_numpy()
     chunk, node, copies = (table[c].to_numpy() for c in ("chunk", "node", "copies"))
-    sides: list[dict[tuple, int]] = [{}, {}]
-    for i in range(table.num_rows):  # rows that repeat an id and a text are here once
-        sides[int(chunk[i] != chunk[0])].setdefault((node[i], flat[ends[i] : ends[i + 1]].tobytes()), i)
+    sides: list[dict[int, int]] = [{}, {}]
+    for i in range(table.num_rows):  # a text that occurs twice is here twice
+        sides[int(chunk[i] != chunk[0])].setdefault(int(node[i]), i)
     one, two = (np.array(list(s.values()), np.int64) for s in sides)
     if table["lo"][0] != table["hi"][0] and not len(two):  # the other chunk is empty
         return pa.table({"node": pa.array([], pa.int64()), "others": pa.array([], pa.int64())})
@@ -166,61 +179,106 @@ def _links_of(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"node": pa.array(np.concatenate([x for x, _ in out])), "others": pa.array(np.concatenate([y for _, y in out]).astype(np.int64))})
 
 
-def _count_links(known: DataFrame, nodes: DataFrame, comp: DataFrame, words: int, threshold: float) -> DataFrame:
+def _count_links(texts: DataFrame, nodes: DataFrame, comp: DataFrame, words: int, threshold: float) -> DataFrame:
     """``node, others``: of each node with a link, the number of documents with other n-gram sets that are near its own.
 
     A class is dealt by hash into chunks of about ``CHUNK_GRAMS``; each two chunks meet in one worker, which returns a
     sum for each member and no pairs. So a task is bounded whatever the size of a class, all its links count, and what
     is shuffled is its n-grams times the number of its chunks.
     """
-    members = cut(nodes.join(small(comp), "node").select("node", "comp", "copies", "size"))
+    members = cut(nodes.join(small(comp), "node").select("node", "row", "k1", "k2", "comp", "copies", "size"))
     sizes = members.groupBy("comp").agg(F.ceil(F.sum(F.greatest("size", F.lit(LEAST_GRAMS))) / CHUNK_GRAMS).alias("chunks"))
-    placed = members.groupBy("node", "comp").agg(F.sum("copies").alias("copies")).join(small(sizes), "comp")
-    placed = compact(placed.select(F.col("node").alias("doc_id"), "comp", "copies", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks"))
-    sets = _gram_sets(known.join(small(placed), "doc_id").select("doc_id", "text", "comp", "copies", "chunk", "chunks"), words)
+    placed = members.join(small(sizes), "comp")
+    placed = compact(placed.select("node", "row", "k1", "k2", "comp", "copies", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks"))
+    sets = _gram_sets(texts, placed, words)
     met = sets.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    met = met.select("node", "grams", "copies", "chunk", "comp", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"))
+    met = met.select("node", "value", "copies", "chunk", "comp", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"))
     # tasks are few bytes and much work: they keep their number
-    met = met.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), "comp", "lo", "hi")
+    met = met.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "comp", "lo", "hi")
     return met.groupBy("comp", "lo", "hi").applyInArrow(lambda t: _links_of(t, threshold), "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
 
 
+def _join(base: DataFrame, words: int, threshold: float, recall: float, max_hashes: int, deviations: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For ``doc_id, row, text``: what ``_sign`` gives, the nodes, and the components ``node, comp`` of nodes with a link."""
+    bands, rows = band_layout(threshold, recall, max_hashes)
+    signed = cut(_sign(base, words, bands, rows))
+    # one node for each n-gram set; its number is fixed by the cut, its text is found again by the hash of one that has it
+    sets = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()))
+    buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.lit(1).alias("indexed"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = compact(nodes.select("node", "row", "k1", "k2").join(small(compact(wanted)), "node", "left_semi"))
+        met = with_values(pairs, _gram_sets(base, wanted, words))
+        shared = F.size(F.array_intersect("va", "vb"))
+        return met.where(shared >= threshold * (F.size("va") + F.size("vb") - shared)).select("a", "b")
+
+    def sketches(wanted: DataFrame) -> DataFrame:
+        return nodes.select("node", F.col("sketch").alias("payload")).join(small(wanted), "node", "left_semi")
+
+    least = 0.0 if deviations is None else threshold - deviations * math.sqrt(threshold * (1 - threshold) / (bands * rows))
+    return signed, nodes, link_buckets(buckets, verify, sketches, near_sketches(least, bands))[1]
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
+
+
 def ngram_join(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256, count_links: bool = True
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256, deviations: float | None = None, count_links: bool = True
 ) -> DataFrame:
     """``doc_id, class_id, n_links`` for each row of ``docs``.
 
     ``class_id`` is the least id among the documents that links connect. ``n_links`` counts all other documents whose
     n-gram set is equal or at least as near as the threshold, copies included; without ``count_links`` this column and
-    its work are left out. A text of fewer than ``words`` words is one n-gram; null, empty and
-    blank texts are copies of each other. Rows that repeat an id are one document, whose rows all count as copies. Rows with a null id have a null class
-    and no links. Other columns are ignored; an empty table gives an empty result.
+    its work are left out. A text of fewer than ``words`` words is one n-gram; null, empty and blank texts are copies of
+    each other. Each row is a document: rows that repeat an id, and rows with a null id, are joined by their own texts
+    (a class of rows without ids has a null class). Other columns are ignored; an empty table gives an empty result.
+
+    Every candidate pair of the bands is verified on its full n-gram sets. ``deviations`` leaves pairs of large buckets
+    out before that if their minima agree less often than at the threshold less so many standard deviations; None (the
+    default) leaves none out.
     """
     ship(docs.sparkSession)
-    bands, rows = band_layout(threshold, recall, max_hashes)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = base.where("doc_id is not null")
-    signed = cut(_sign(known, words, bands, rows))
-    # one node for each n-gram set; its name is the least id that has it
-    nodes = cut(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.lit(1).alias("indexed"))
+    base = _base(docs, id_col, text_col)
+    signed, nodes, comp = _join(base, words, threshold, recall, max_hashes, deviations)
+    classes = nodes.select("k1", "k2", "node", "copies", "least_id").join(small(comp), "node", "left")
+    least = classes.where("comp is not null").groupBy("comp").agg(F.min("least_id").alias("class_least"))
+    classes = classes.join(small(compact(least)), "comp", "left").withColumn("class_id", F.when(F.col("comp").isNull(), F.col("least_id")).otherwise(F.col("class_least")))
+    if count_links:
+        classes = classes.join(_count_links(base, nodes, comp, words, threshold), "node", "left")
+        classes = classes.withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    out = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id", *(["n_links"] if count_links else []))
+    return out.withColumnRenamed("doc_id", id_col)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = compact(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-        sets = _gram_sets(known.join(small(wanted), "doc_id", "left_semi"), words)
-        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-        shared = F.size(F.array_intersect("ga", "gb"))
-        return met.where(shared >= threshold * (F.size("ga") + F.size("gb") - shared)).select("a", "b").distinct()
 
-    def sketches(wanted: DataFrame) -> DataFrame:
-        return nodes.select("node", F.col("sketch").alias("payload")).join(small(wanted), "node", "left_semi")
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256, deviations: float | None = None) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates, with all its columns.
 
-    comp = link_buckets(buckets, verify, sketches, near_sketches(threshold, bands, bands * rows))[1]
-    classes = nodes.select("k1", "k2", "node", "copies").join(comp, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))
-    lost = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    if count_links:
-        classes = classes.join(_count_links(known, nodes, comp, words, threshold), "node", "left")
-        classes = classes.withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
-        lost = lost.withColumn("n_links", F.lit(0).cast("long"))
-    out = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select(*lost.columns)
-    return out.unionByName(lost).withColumnRenamed("doc_id", id_col)
+    The row with the least id stays (null ids come last), among these the one whose text has the least hash, and of
+    rows equal in both any one. Rows that repeat an id are documents of their own. A row without words is a copy of the
+    others without words. An empty table gives an empty result.
+    """
+    ship(docs.sparkSession)
+    base = _base(docs, id_col, text_col)
+    signed, nodes, comp = _join(base, words, threshold, recall, max_hashes, deviations)
+    groups = nodes.select("k1", "k2", "copies", F.col("node").alias("n")).join(small(comp), F.col("n") == F.col("node"), "left").where("copies > 1 or comp is not null")
+    groups = compact(groups.select("k1", "k2", F.coalesce("comp", "n").alias("comp")))
+    # the rows of classes with two rows or more: ids and hashes
+    rows = cut(signed.join(small(groups), ["k1", "k2"]).groupBy("comp", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("doc_id").isNull().alias("none"), "row").agg(F.count("*").alias("n")))
+    first = rows.groupBy("comp").agg(F.min(F.struct("none", "id", "row")).alias("f"))
+    rows = rows.join(small(compact(first.select("comp", "f.none", "f.id", "f.row").toDF("comp", "fn", "fi", "fr"))), "comp")
+    rows = rows.withColumn("kept", (F.col("none") == F.col("fn")) & (F.col("id") == F.col("fi")) & (F.col("row") == F.col("fr")))
+    names = fresh(docs, "i", "none", "h", "kept")
+    rows = compact(rows.where("not kept or n > 1").select("id", "none", "row", "kept").distinct().toDF(*names))
+    row = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)) == F.col(names[0]), F.col(id_col).isNull() == F.col(names[1]), row == F.col(names[2])]
+    once = docs.join(small(rows), key, "left_anti")
+    twice = rows.where(F.col(names[3]))
+    if twice.isEmpty():
+        return once
+    # rows that are equal in id and text: one of each
+    equal = docs.join(small(twice), key).dropDuplicates(names[:3])
+    return once.unionByName(equal.drop(*names))

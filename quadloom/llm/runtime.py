@@ -1,16 +1,22 @@
-"""Session helpers that the operators share: lineage cuts and size-checked broadcasts."""
+"""Session helpers that the operators share: lineage cuts, their removal, and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a narrow table (a few longs each) that may be broadcast: some 64 MB as a hash table.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a narrow table (at most five longs each) that may be broadcast: some 16 MB as a hash table.
+BROADCAST_ROWS = 250_000
+
+_scopes = threading.local()
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,19 +33,45 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a folder of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The checkpoint folder that all executors share. Only a local master may go without a named one; else that is an error."""
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quadloom-checkpoint-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quadloom-checkpoint-"))
+        current = context._jsc.sc().getCheckpointDir()
     return current.get()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def temporary_cuts(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, what ``cut`` has written meanwhile in this thread; for work whose result has been written elsewhere."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        mine, _scopes.paths = _scopes.paths, outer
+        for path in mine:
+            discard(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was made; survives the loss of executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    if getattr(_scopes, "paths", None) is not None:
+        file = made._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            _scopes.paths.append(file.get())
+    return made
 
 
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -49,6 +81,26 @@ def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is, for a shuffled join."""
+    """``df`` (narrow rows) with a broadcast hint if it has at most ``limit`` rows, else as it is, for a shuffled join."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= limit else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to be a column of ``df``."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """128 bits that name a row by all its columns (but maps), as two longs.
+
+    Nulls are told from values. Rows that repeat an id stay apart if anything in them differs; equal rows have one name.
+    """
+    names = [f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    parts = [x for n in names for x in (F.col(n).isNull(), F.col(n))]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (17, 89)]
