@@ -16,6 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import ship
 from .shingles import BoundedCache
@@ -83,17 +84,6 @@ class LongestMatch:
         return tokens
 
 
-def brute_force_count(pieces: Iterable[str], word: str) -> int:
-    """Greedy longest match by trying every prefix, for tests."""
-    vocab = {p for p in pieces if p and MARK not in p[1:]}
-    rest, n = MARK + word, 0
-    while rest:
-        k = next((k for k in range(len(rest), 0, -1) if rest[:k] in vocab), 0)
-        n += 1 if k else len(rest[0].encode())
-        rest = rest[k or 1 :]
-    return n
-
-
 def read_vocabulary(path: str) -> list[str]:
     """The plain pieces of a sentencepiece model (no control, unknown or byte tokens)."""
     import sentencepiece
@@ -107,8 +97,8 @@ def _words(path: str) -> BoundedCache:
     return BoundedCache(LongestMatch(read_vocabulary(path)).count)
 
 
-def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_tokens`` for every row of ``docs``.
+def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_words, n_tokens`` for every row of ``docs``, and the columns ``carry`` of it.
 
     ``vocabulary`` is the path of a sentencepiece model on every worker. Words are split at white space. A null or empty
     text has 0 words and 0 tokens; repeated rows and null ids are counted row by row; other columns are ignored. There
@@ -116,6 +106,8 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     """
 
     ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType()), *(rows.schema[c] for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _words(vocabulary)
@@ -125,6 +117,6 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
                 words = (text.as_py() or "").split()
                 n_words.append(len(words))
                 n_tokens.append(sum(map(count.__getitem__, words)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64()), *batch.columns[2:]], ["doc_id", "n_words", "n_tokens", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return rows.mapInArrow(run, schema)
