@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .runtime import cut, ship, small
+from .runtime import cut, fresh, row_key, ship, small
 
 #: Suffixes of national addresses and the language that they speak for.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
@@ -49,15 +50,16 @@ def _clean(text: str | None) -> str:
     return " ".join([w for w in (text or "").lower().split() if w.isalpha() or not _NOISE(w)])
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 1500) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 1500, max_languages: int = 64) -> tuple[list[str], np.ndarray]:
     """Trigram log likelihoods of each labelled language, and of unknown text (a flat distribution).
 
     Fitted on a bounded sample: about ``sample_rows`` rows of each label (the rows whose hash falls under its share),
-    with whole texts. Counts are grouped in Spark; languages x ``BUCKETS`` numbers reach the driver.
+    with whole texts, of the ``max_languages`` labels with most rows (ties by name). Counts are grouped in Spark; at most
+    languages x ``BUCKETS`` numbers reach the driver. Rows with a null text or label train nothing.
     """
     ship(docs.sparkSession)
     labelled = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("row_id")).where("label is not null and text is not null")
-    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_languages).collect()}
     languages = sorted(sizes)
     share = F.lit(0.0)
     for label, n in sizes.items():
@@ -89,7 +91,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def _scores(docs: DataFrame, languages: list[str], table: np.ndarray, effective: float) -> DataFrame:
-    """Adds ``ll``, the text's log likelihoods less their maximum, and drops the text."""
+    """Adds ``letters`` and ``ll``, the text's log likelihoods less their maximum, and drops the text."""
+    schema = T.StructType([*(f for f in docs.schema if f.name != "text"), T.StructField("letters", T.LongType()), T.StructField("ll", T.ArrayType(T.DoubleType()))])
+    names = [f.name for f in schema][:-2]
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +131,9 @@ def _scores(docs: DataFrame, languages: list[str], table: np.ndarray, effective:
                 sums *= np.minimum(1 / 3, effective / np.maximum(n, 1))
                 sums -= sums.max(axis=1, keepdims=True)
                 ll = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * len(languages), pa.int32()), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("row_id", "declared", "suffix", "host")), pa.array(n.ravel(), pa.int64()), ll], ["row_id", "declared", "suffix", "host", "letters", "ll"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n.ravel(), pa.int64()), ll], [*names, "letters", "ll"])
 
-    return docs.mapInArrow(run, "row_id long, declared string, suffix string, host string, letters long, ll array<double>")
+    return docs.mapInArrow(run, schema)
 
 
 def evidence_from_url(url: Column) -> tuple[Column, Column]:
@@ -154,13 +158,15 @@ def identify_languages(
     labels: DataFrame | None = None,
     label_col: str = "lang",
     sample_rows: int = 1500,
+    max_languages: int = 64,
+    carry: dict[str, Column] | None = None,
     declared_trust: float = 0.7,
     suffix_trust: float = 0.6,
     host_weight: float = 20.0,
     effective: float = 120.0,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """``doc_id, language, probability, declared, keep`` for each row of ``docs``.
+    """``doc_id, language, probability, declared, keep`` for each row of ``docs``, and the columns that ``carry`` names and makes.
 
     ``labels`` (default: ``docs``) trains the text model on ``label_col``. ``keep`` is false where the unknown class
     wins, no language reaches ``threshold``, or the text has no words. Defined cases: a null or blank text, or one of numbers and addresses alone, has no
@@ -172,10 +178,11 @@ def identify_languages(
     sums, combined before the shuffle, so a host with a third of all rows is one row for each task.
     """
     none = F.lit(None).cast("string")
-    languages, table = train(labels if labels is not None else docs, id_col=id_col, text_col=text_col, label_col=label_col, sample_rows=sample_rows)
+    languages, table = train(labels if labels is not None else docs, id_col=id_col, text_col=text_col, label_col=label_col, sample_rows=sample_rows, max_languages=max_languages)
     known, n = languages[:-1], len(languages)
     # aliases keep clear of the columns of docs
-    base = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"), F.lower((declared if declared is not None else none).cast("string")).alias("declared"), (suffix if suffix is not None else none).cast("string").alias("suffix"), (host if host is not None else none).cast("string").alias("host"))
+    carried = {f"carry_{k}": column for k, column in enumerate((carry or {}).values())}
+    base = docs.select(*(column.alias(name) for name, column in carried.items()), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"), F.lower((declared if declared is not None else none).cast("string")).alias("declared"), (suffix if suffix is not None else none).cast("string").alias("suffix"), (host if host is not None else none).cast("string").alias("host"))
     scored = cut(_scores(base, languages, table, effective))
 
     def likelihood(said: Column, trust: float, speaks_for: dict[str, str]) -> Column:
@@ -210,9 +217,27 @@ def identify_languages(
     judged = scored.join(small(hosts, by_host.count()), (F.col("host") == F.col("hh")) & F.col("suffix").eqNullSafe(F.col("hs")), "left")
     prior = F.coalesce("host_prior", F.array(*map(F.lit, corpus)))
     post = add(F.col("local"), F.transform(prior, lambda p: F.log(p)))
-    judged = judged.select("row_id", "letters", "declared", post.alias("post")).withColumn("top", F.array_max("post"))
+    judged = judged.select(*carried, "row_id", "letters", "declared", post.alias("post")).withColumn("top", F.array_max("post"))
     judged = judged.withColumn("probability", 1.0 / F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
     language = F.element_at(F.array(*map(F.lit, languages)), F.array_position("post", F.col("top")).cast("int"))
     judged = judged.withColumn("language", language)
     keep = (F.col("language") != UNKNOWN) & (F.col("probability") >= threshold) & (F.col("letters") > 0)
-    return judged.select(F.col("row_id").alias(id_col), "language", "probability", "declared", keep.alias("keep"))
+    extra = [F.col(name).alias(title) for name, title in zip(carried, carry or (), strict=True)]
+    return judged.select(F.col("row_id").alias(id_col), "language", "probability", "declared", keep.alias("keep"), *extra)
+
+
+def keep_known(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **evidence) -> DataFrame:
+    """The rows of ``docs`` that ``identify_languages`` keeps, with the language that was found in ``lang_col``.
+
+    ``evidence`` are further options of ``identify_languages``. Each row is judged by itself: of rows that repeat an id
+    only those without a known language go, and rows with a null id go as others do; so do null, empty and blank texts.
+    Rows that are equal in all columns are judged alike. An empty table gives an empty result; other columns stay.
+    """
+    key, said = row_key(docs), F.col(lang_col).cast("string")
+    judged = identify_languages(docs, id_col=id_col, text_col=text_col, label_col=lang_col, carry={"r1": key[0], "r2": key[1], "said": said}, **evidence)
+    # most rows are kept in the language that they name, and need no row here
+    names = fresh(docs, "r1", "r2", "found", "kept")
+    judged = judged.where(~F.col("keep") | ~F.col("said").eqNullSafe(F.col("language"))).select("r1", "r2", "language", "keep")
+    judged = cut(judged.distinct()).toDF(*names)
+    out = docs.join(small(judged), [k == F.col(n) for k, n in zip(key, names, strict=False)], "left").where(F.coalesce(F.col(names[3]), F.lit(True)))
+    return out.withColumn(lang_col, F.coalesce(F.col(names[2]), F.col(lang_col))).drop(*names)
