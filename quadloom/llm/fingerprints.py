@@ -6,9 +6,14 @@ parts merge into that of the whole; two of them estimate resemblance, containmen
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import fresh
+
+LEAST = -(1 << 63)
 K = 128
 SHINGLE = 5
 
@@ -67,7 +72,8 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 def fingerprint(docs: DataFrame, *, text_col: str = "text", out: str = "sketch", k: int = K, n: int = SHINGLE) -> DataFrame:
     """``docs`` with the fingerprint of each text in ``out``; no shuffle. Null, empty and blank texts have an empty one."""
-    return docs.withColumn("__words", words_of(F.col(text_col).cast("string"))).withColumn(out, sketch_of("__words", k, n)).drop("__words")
+    (words,) = fresh(docs, "words")
+    return docs.withColumn(words, words_of(F.col(text_col).cast("string"))).withColumn(out, sketch_of(words, k, n)).drop(words)
 
 
 def merge_by(sketches: DataFrame, key: str, sketch_col: str = "sketch", k: int = K, salts: int = 64) -> DataFrame:
@@ -82,56 +88,74 @@ def merge_by(sketches: DataFrame, key: str, sketch_col: str = "sketch", k: int =
     return whole.groupBy("key").agg(F.sort_array(F.collect_list("h")).alias(sketch_col)).withColumnRenamed("key", key)
 
 
+def _bounds(base: DataFrame, buckets: int) -> tuple[tuple[int, int], list[tuple[int, int]]]:
+    """The place (id, hash) of the first row, and the places at which the further ranges begin; empty for an empty table.
+
+    A range begins with an id. An id that is several percentiles fills several ranges: these begin with a hash each.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    least, cuts = base.agg(F.min("id"), F.percentile_approx("id", shares or [0.5], 20 * buckets)).first()
+    repeats = Counter(cuts or ()) if shares else Counter()
+    hot = {i: k for i, k in repeats.items() if k > 1}
+    begins = [(i, LEAST) for i, k in repeats.items() if k == 1]
+    if hot:
+        parts = F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair])
+        part = F.floor((F.col("hash").cast("double") / 2.0**64 + 0.5) * parts[F.col("id")])
+        begins += [(r["id"], r["first"]) for r in base.where(F.col("id").isin(*hot)).groupBy("id", part.alias("part")).agg(F.min("hash").alias("first")).collect()]
+    begins.sort()
+    first = (least, LEAST)
+    if begins and begins[0][0] == least:  # nothing stands before it
+        first = begins.pop(0)
+    return first, begins
+
+
 def with_next(docs: DataFrame, buckets: int, *, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text, words, sketch, next_text, next_sketch``: each text beside the one that follows by id; the first follows the last.
+    """``doc_id, text, sketch, next_text, next_sketch``: each text beside the one that follows by id; the first follows the last.
 
-    Ids are dealt into ranges of about equal size. The first document of a range also goes, marked, to the end of the
-    range before, so that one shuffle of the texts suffices, no range depends on another, and no join follows.
+    Rows are ordered by id (a null counts as the least long), a hash of the text, and the text. They are dealt into
+    ranges of about equal size; an id that fills several is split by the hash, so that only rows which are equal in id
+    and text must meet. The first row of a range also goes, marked, to the end of the range before: one shuffle of the
+    texts suffices, no range depends on another, and no join follows.
     """
     from pyspark.sql import Window
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shares = [i / buckets for i in range(1, buckets)]
-    ids = base.select("doc_id").agg(F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1)), F.percentile_approx("doc_id", shares or [0.5], 20 * buckets)).first()
-    least, nulls, cuts = ids[0], ids[1], ids[2] or []
-    bounds = sorted({x for x in cuts if x is not None and (x > least or nulls)}) if shares else []
-    # null ids come first, in the first range
-    if nulls and least is not None and least not in bounds and shares:
-        bounds = sorted({least, *bounds})
-    first = None if nulls else least
-    row_id = F.col("doc_id")
-    step, steps = 1, []
-    while step <= max(1, len(bounds)):
-        steps.insert(0, step)
-        step *= 2
-    table = F.array(*map(F.lit, bounds)).cast("array<bigint>") if bounds else None
-    if table is not None:  # binary search by falling steps
-        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when(F.coalesce(F.get(table, lo + s - 1) <= row_id, F.lit(False)), lo + s).otherwise(lo))
-        starts = row_id == F.get(table, F.col("range") - 1)
-    else:
-        at, starts = F.lit(0), F.lit(False)
-    last = len(bounds)
-    is_first = row_id.isNull() if first is None else row_id == first
+    base = base.withColumn("id", F.coalesce("doc_id", F.lit(LEAST))).withColumn("hash", F.xxhash64("text"))
+    first, begins = _bounds(base, buckets)
+    last = len(begins)
+    ids, hashes = (F.array(*[F.lit(x) for x in xs]).cast("array<bigint>") for xs in (zip(*begins, strict=True) if begins else ((), ())))
+    steps = [1 << k for k in reversed(range(max(1, last).bit_length()))]
+    reached = lambda k: F.coalesce((F.get(ids, k) < F.col("id")) | (F.get(ids, k) == F.col("id")) & (F.get(hashes, k) <= F.col("hash")), F.lit(False))
+    # binary search by falling steps
+    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when(reached(lo + s - 1), lo + s).otherwise(lo)) if begins else F.lit(0)
+    here = lambda place: (F.col("id") == place[0]) & ((place[1] == LEAST) | (F.col("hash") == place[1]))
+    begin = here((F.get(ids, F.col("range") - 1), F.get(hashes, F.col("range") - 1))) if begins else F.lit(False)
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
     before = F.struct((F.col("range") - 1).alias("range"), F.lit(1).alias("guest"))
     wrapped = F.struct(F.lit(last).alias("range"), F.lit(1).alias("guest"))
-    places = F.when(is_first, F.array(own, wrapped)).when(starts, F.array(own, before)).otherwise(F.array(own))
-    dealt = base.withColumn("range", at).withColumn("place", F.explode(places)).select("doc_id", "text", F.col("place.range").alias("range"), F.col("place.guest").alias("guest"))
-    dealt = dealt.repartition(max(1, min(buckets, len(bounds) + 1)), "range")
-    dealt = fingerprint(dealt)
-    order = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).where("guest = 0").drop("range", "guest")
+    places = F.when(here((F.lit(first[0]).cast("long"), F.lit(first[1]).cast("long"))), F.array(own, wrapped)).when(begin, F.array(own, before)).otherwise(F.array(own))
+    dealt = base.withColumn("range", at).withColumn("place", F.explode(places)).select("doc_id", "id", "hash", "text", F.col("place.range").alias("range"), F.col("place.guest").alias("guest"))
+    dealt = fingerprint(dealt.repartition(last + 1, "range"))
+    order = Window.partitionBy("range").orderBy("guest", "id", "hash", "text")
+    whole = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
+    return whole.where("guest = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")
+
+
+def ranges_for(docs: DataFrame) -> int:
+    """Ranges of some 32 MB as Spark reckons the table's size, at least four to a shuffle partition, at most 10,000."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(10_000, size >> 25)) if size < 1 << 60 else least
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text (the last quarter replaced by the start of the next document).
 
     One row for each row of ``docs``. A null text is empty; equal texts have equal fingerprints; rows that repeat an id
-    follow one another by text; null ids come first; a single document follows itself; an empty table gives an empty
-    result; other columns are ignored.
+    follow one another by a hash of the text; null ids come first; a single document follows itself; an empty table
+    gives an empty result; other columns are ignored.
     """
-    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_next(docs, buckets, id_col=id_col, text_col=text_col)
+    rows = with_next(docs, buckets or ranges_for(docs), id_col=id_col, text_col=text_col)
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
