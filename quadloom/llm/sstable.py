@@ -24,7 +24,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -169,18 +169,23 @@ class ShardReader:
         for k in range(len(self.blocks)):
             yield from self.block(k)
 
-    def get(self, key: bytes) -> np.ndarray | None:
-        """The ids under a key: Bloom filter, binary search in the index, one block."""
+    def may_have(self, key: bytes) -> bool:
+        """False only if the Bloom filter knows that the key isn't here."""
         bloom = np.frombuffer(self.source.read_at(self.bloom_size, self.bloom_at), np.uint8)
         at = _bloom_bits([key], self.bits, self.hashes)[0].astype(np.int64)
-        if not np.all(bloom[at >> 3] >> (at & 7).astype(np.uint8) & 1):
-            return None
-        k = bisect_right(self.blocks, key, key=lambda b: b[0]) - 1
-        if k >= 0:
-            for found, value in self.block(k):
-                if found == key:
-                    return np.frombuffer(value, f"<u{self.width}")
-        return None
+        return bool(np.all(bloom[at >> 3] >> (at & 7).astype(np.uint8) & 1))
+
+    def get_all(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of each row of an id here: Bloom filter, binary search in the index, then one block, or those that its repeats fill."""
+        first = make_key(doc_id)  # every id of a shard has a repeat 0 in it
+        out: list[np.ndarray] = []
+        if not self.may_have(first):
+            return out
+        for k in range(max(0, bisect_right(self.blocks, first, key=lambda b: b[0]) - 1), len(self.blocks)):
+            if self.blocks[k][0][:9] > first[:9]:
+                break
+            out += [np.frombuffer(value, f"<u{self.width}") for key, value in self.block(k) if key[:9] == first[:9]]
+        return out
 
 
 def _byte_letters() -> dict[int, int]:
@@ -287,7 +292,10 @@ def write_shards(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
 
 def read_shards(spark, manifest: list[dict]) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, shard`` of every document, read from the shards, a task for each."""
+    """``doc_id, start, n_tokens, ids_crc32, shard`` of every document, read from the shards, a task for each.
+
+    Null ids and rows that repeat an id are read row by row, as they were written; an empty manifest gives an empty result.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
     if not manifest:
         return spark.createDataFrame([], schema)
@@ -311,11 +319,22 @@ def read_shards(spark, manifest: list[dict]) -> DataFrame:
     return spark.range(0, len(shards), 1, len(shards)).mapInArrow(run, schema)
 
 
-def lookup(manifest: list[dict], doc_id: int) -> np.ndarray | None:
-    """The ids of one document, from the one shard that can have it."""
-    for m in manifest:
-        if m["first"] is not None and m["first"] <= doc_id <= m["last"]:
-            with open_store(m["folder"])[0].open_input_file(m["path"]) as source:
-                if (ids := ShardReader(source).get(make_key(doc_id))) is not None:
-                    return ids
-    return None
+def lookup_all(manifest: list[dict], doc_id: int | None) -> list[np.ndarray]:
+    """The ids of each row that has an id (None: a null id), in the order of writing; empty if there is none.
+
+    The manifest ascends, so the shards that can hold the id are found by binary search; in each, the Bloom filter and
+    the block index lead to the blocks that can. Rows that repeat an id may lie in several blocks and shards.
+    """
+    order = lambda x: (x is not None, x or 0)
+    out = []
+    for m in manifest[bisect_left(manifest, order(doc_id), key=lambda m: order(m["last"])) :]:
+        if order(m["first"]) > order(doc_id):
+            break
+        with open_store(m["folder"])[0].open_input_file(m["path"]) as source:
+            out += ShardReader(source).get_all(doc_id)
+    return out
+
+
+def lookup(manifest: list[dict], doc_id: int | None) -> np.ndarray | None:
+    """The ids of the first row that has an id (None: a null id), or None if there is no such row."""
+    return next(iter(lookup_all(manifest, doc_id)), None)
