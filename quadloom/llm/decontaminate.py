@@ -8,15 +8,18 @@ item's surroundings are verified with Myers' bit-parallel approximate matching.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, ship, small
+from .runtime import cut, fresh, row_key, ship, small
 
 #: Characters of test items that one automaton holds (some 100 bytes each); more items go in further blocks.
 BLOCK_CHARS = 1_000_000
+#: Automata that a worker keeps, and texts that meet one before the next.
+MATCHERS, BATCH_ROWS = 2, 2_000
 
 
 def normalise(text: str | None) -> str:
@@ -24,9 +27,9 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def budget(item: str, rate: float, least_piece: int) -> int:
-    """Edits that are allowed in an item: its share, as long as the pieces keep ``least_piece`` characters."""
-    return max(0, min(int(len(item) * rate), len(item) // least_piece - 1))
+def budget(item: str, rate: float) -> int:
+    """Edits that are allowed in an item: its share, rounded down."""
+    return int(len(item) * rate)
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -58,10 +61,10 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """Searches texts for a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, least_piece: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(item_id, text, budget(text, rate, least_piece)) for item_id, text in items]
+        self.items = [(item_id, text, budget(text, rate)) for item_id, text in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
             for at, piece in pieces(text, edits):
@@ -72,17 +75,22 @@ class Matcher:
         self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, least edits, occurrences) of each item in a normalised text."""
+        """(item, least edits, occurrences) of each item in a normalised text; occurrences of an item don't overlap."""
         out: dict[int, tuple[int, int]] = {}
-        done: dict[int, int] = {}  # up to where the text is settled for an item
-        refused: set[tuple[int, int]] = set()
+        done: dict[int, int] = {}  # up to where occurrences of an item are counted
+        tried: set[tuple[int, int]] = set()
         for last, (size, places) in self.automaton.iter(text):
             for k, at in places:
-                start = last - size + 1 - at
-                if start < done.get(k, start) or (k, start) in refused:  # a text that lacks an item's start has hits below 0
+                start = last - size + 1 - at  # below 0 in a text that lacks an item's start
+                if (k, start) in tried:
+                    continue
+                tried.add((k, start))
+                before, n = out.get(k, (None, 0))
+                new = start >= done.get(k, start)
+                if before == 0 and not new:
                     continue
                 _, item, edits = self.items[k]
-                if text.startswith(item, start) if start >= 0 else False:
+                if start >= 0 and text.startswith(item, start):
                     least, end = 0, start + len(item)
                 elif edits:
                     lo = max(0, start - edits)
@@ -91,61 +99,80 @@ class Matcher:
                 else:
                     continue
                 if least <= edits:
-                    edits_before, n = out.get(k, (least, 0))
-                    out[k] = (min(least, edits_before), n + 1)
-                    done[k] = end - edits
-                else:
-                    refused.add((k, start))
+                    out[k] = (least if before is None else min(least, before), n + new)
+                    if new:
+                        done[k] = end - edits
         return [(self.items[k][0], least, n) for k, (least, n) in sorted(out.items())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08, least_piece: int = 14, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id, edits, occurrences`` for each document and item that it holds within the item's budget.
-
-    Case and white space are levelled on both sides. Items that are null or blank match nothing; items too short for two
-    pieces match only unchanged; equal items are all reported. Null and empty texts hold nothing; rows that repeat an id
-    are searched row by row; other columns are ignored. The benchmark is a query set: it is read in blocks of
-    ``block_chars``, each scanned against all texts, so a task's memory is one block's automaton and one Arrow batch.
-    There is no shuffle of texts.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, normalised, in blocks of about ``block_chars`` characters; one block is held at a time."""
+    block, held = [], 0
     for row in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).toLocalIterator():
         if item := normalise(row["t"]):
-            if held + len(item) > block_chars and blocks[-1]:
-                blocks.append([])
-                held = 0
-            blocks[-1].append((row["i"], item))
+            if held + len(item) > block_chars and block:
+                yield block
+                block, held = [], 0
+            block.append((row["i"], item))
             held += len(item)
-    schema = "doc_id long, item_id long, edits int, occurrences int"
-
-    def search(items: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate, least_piece)
-            for batch in batches:
-                rows = [(doc_id, *leak) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for leak in matcher.find(normalise(text.as_py()))]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                columns = zip(*rows, strict=True) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "edits", "occurrences"])
-
-        return texts.mapInArrow(run, schema)
-
-    blocks = [b for b in blocks if b]
-    if not blocks:
-        return spark.createDataFrame([], schema)
-    found = search(blocks[0])
-    for block in blocks[1:]:
-        found = found.unionByName(search(block))
-    return found
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that hold a passage of the benchmark; rows with a null id stay."""
-    id_col = options.get("id_col", "doc_id")
-    leaked = cut(find_leaks(docs, benchmark, **options).where("doc_id is not null").select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(small(leaked), F.col(id_col) == F.col("__leaked"), "left_anti")
+    if block:
+        yield block
+
+
+def _search(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, rate: float, block_chars: int) -> DataFrame:
+    """``item_id, edits, occurrences`` for each text and item, after the columns (longs) that stand before ``text``."""
+    spark = texts.sparkSession
+    ship(spark)
+    blocks = [spark.sparkContext.broadcast(block) for block in _blocks(benchmark, item_col, item_text_col, block_chars)]
+    names = [c for c in texts.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = lru_cache(MATCHERS)(lambda k: Matcher(blocks[k].value, rate))
+        turn = 0
+        for batch in batches:
+            kept, found = [], []
+            for lo in range(0, batch.num_rows, BATCH_ROWS):  # each block meets a batch of whole texts, in one scan of the corpus
+                texts = [normalise(t.as_py()) for t in batch.column("text").slice(lo, BATCH_ROWS)]
+                # to and fro, so that the last automaton of a turn is the first of the next
+                for k in range(len(blocks))[:: -1 if turn % 2 else 1]:
+                    for at, text in enumerate(texts, lo):
+                        leaks = matcher(k).find(text)
+                        kept += [at] * len(leaks)
+                        found += leaks
+                turn += 1
+            kinds = (pa.int64(), pa.int32(), pa.int32())
+            columns = zip(*found, strict=True) if found else [[]] * 3
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*names, "item_id", "edits", "occurrences"])
+
+    return texts.mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "item_id long", "edits int", "occurrences int"]))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id, edits, occurrences`` for each row of ``docs`` and item that it holds within the item's budget.
+
+    The budget of an item is ``rate`` of its characters, rounded down. Case and white space are levelled on both sides.
+    Items that are null or blank match nothing; items whose budget is 0 match only unchanged; equal items are all
+    reported. Null and empty texts hold nothing; rows that repeat an id, and rows with a null id, are searched row by row;
+    other columns are ignored; an empty table or benchmark gives an empty result.
+
+    The benchmark is a query set. It goes to the workers in blocks of ``block_chars``, of which the driver holds one at a
+    time; all blocks are matched in one scan of the texts, in batches, and a worker keeps ``MATCHERS`` automata at a
+    time. There is no shuffle of texts.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _search(texts, benchmark, item_col, item_text_col, rate, block_chars)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the rows that hold a passage of the benchmark within its item's budget; all their columns stay.
+
+    Each row is judged by its own text: of rows that repeat an id only those with a passage go, and rows with a null id
+    go as others do. Rows with a null, empty or blank text stay. An empty table gives an empty result, an empty benchmark
+    drops nothing.
+    """
+    key = row_key(docs)
+    texts = docs.select(key[0].alias("r1"), key[1].alias("r2"), F.col(text_col).cast("string").alias("text"))
+    names = fresh(docs, "r1", "r2")
+    leaked = cut(_search(texts, benchmark, item_col, item_text_col, rate, block_chars).select("r1", "r2").distinct()).toDF(*names)
+    return docs.join(small(leaked), [k == F.col(n) for k, n in zip(key, names, strict=True)], "left_anti")
