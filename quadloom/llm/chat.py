@@ -95,13 +95,15 @@ def format_conversations(
     Spans are arrays of structs (start, end) in code points; ``loss_spans`` covers the texts of ``learn_roles``;
     ``rewrites`` lists the turns (from 0) at which the template changed what stood before, whose conversations have no
     loss spans for the turns up to there. Turns are ordered by turn (null first), then role and text; repeated turns are
-    all kept; null roles and texts are empty; a null id is a conversation of its own; other columns are ignored; an
-    empty table gives an empty result. A conversation is one value of the result and so is gathered in one task;
-    rendering each prefix costs the square of its number of turns.
+    all kept; null roles and texts are empty; a row with a null id is a conversation of its own (rows without an id that
+    are equal are turns of one); other columns are ignored; an empty table gives an empty result. A conversation is one
+    value of the result and so is gathered in one task; rendering each prefix costs the square of its number of turns.
     """
     ship(conversations.sparkSession)
     turn = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    grouped = conversations.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), turn.alias("turn"))
+    rows = rows.withColumn("apart", F.when(F.col("conv_id").isNull(), F.struct(F.xxhash64(F.lit(17), "turn"), F.xxhash64(F.lit(89), "turn"))))
+    grouped = rows.groupBy("conv_id", "apart").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     grouped = grouped.select("conv_id", F.transform("turns", lambda t: t.role).alias("roles"), F.transform("turns", lambda t: t.text).alias("texts"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("turn_spans", span), ("loss_spans", span), ("rewrites", pa.list_(pa.int32()))])
