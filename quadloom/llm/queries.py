@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, fingerprints, html_extract, language_id, line_dedup, ngram_join, packing, sstable, token_counts
+from .runtime import cut
 
 #: Where the public tokenizer files are; a module of this name gives their paths.
 TOKENIZERS = "public_tokenizers"
 
-#: Lines of so many characters or more are matched within 2 edits, in op6 and in the pipeline.
-NEAR_LINE_CHARS = 30
-
-
 def tokenizer_file(name: str) -> str:
     import importlib
 
@@ -24,14 +21,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_length_and_cluster(docs: DataFrame) -> DataFrame:
-    """Words of each text as its length, and a hash of its words as its cluster of copies."""
+def packing_items(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, length, cluster``: the tokens of each text, and a hash of its words as its cluster of copies.
+
+    The texts are read once; what packing needs of them, a few numbers a row, is cut.
+    """
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    return docs.select("doc_id", "source", words.alias("w")).select("doc_id", "source", F.size("w").alias("length"), F.xxhash64("w").alias("cluster"))
+    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.xxhash64(words).alias("cluster"))
+    counted = token_counts.token_counts(rows, str(tokenizer_file("piece_bpe_32k.model")), carry=("source", "cluster"))
+    return cut(counted.select("doc_id", "source", F.col("n_tokens").alias("length"), "cluster"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(with_length_and_cluster(_table(spark, sf_dir, "documents")), capacity=2048)
+    return packing.best_fit_pack(packing_items(_table(spark, sf_dir, "documents")), capacity=2048)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify_languages(_table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+    """Documents by text, declared language and host; pages also by markup and address suffix. ``page_id`` is null in the rows of documents, ``doc_id`` in those of pages."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    host, suffix = language_id.evidence_from_url(F.col("url"))
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "lang", F.col("lang").alias("said"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
+    texts = html_extract.extract_pages(pages.select("page_id", "url", "html"), carry={"said": language_id.declared_in_markup(F.col("html")), "suffix": suffix, "host": host})
+    rows = rows.unionByName(texts.select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", F.lit(None).cast("string").alias("lang"), "said", "suffix", "host"))
+    judged = language_id.identify_languages(rows, declared=F.col("said"), suffix=F.col("suffix"), host=F.col("host"), labels=docs, carry={"page_id": F.col("page_id")})
+    return judged.select("doc_id", "page_id", "language", "probability", "declared", "keep")
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +60,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_near=NEAR_LINE_CHARS)
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "lines_dropped", F.char_length("text").cast("long").alias("n_chars"), "text")
 
 
@@ -61,7 +70,7 @@ def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "edits")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,17 +89,91 @@ QUERIES = {
     for f in (op1_best_fit_packing, op2_token_counts, op3_language_id, op4_document_fingerprints, op5_ngram_jaccard_join, op6_line_dedup, op7_token_id_output, op8_benchmark_decontamination, op9_chat_formatting, op10_html_extraction)
 }
 
+#: The letters beyond ASCII in the texts. SQL's distance counts bytes, so each is written as one byte.
+_LETTERS = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ"
+
+
+def _single_bytes(x: str) -> str:
+    return f"translate({x}, '{_LETTERS}', {' || '.join(f'chr({k if k < 9 else k + 5})' for k in range(1, len(_LETTERS) + 1))})"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard_join": r"""
+        WITH RECURSIVE word AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents
+        ), gram AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM word
+        ), each_gram AS (
+            SELECT doc_id, unnest(g) AS s FROM gram
+        ), shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM each_gram x JOIN each_gram y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+        ), near AS (
+            SELECT a, b FROM shared JOIN gram x ON x.doc_id = a JOIN gram y ON y.doc_id = b WHERE n >= 0.8::DOUBLE * (len(x.g) + len(y.g) - n)
+            UNION ALL SELECT x.doc_id, y.doc_id FROM gram x JOIN gram y ON x.doc_id <> y.doc_id AND len(x.g) = 0 AND len(y.g) = 0
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM gram UNION SELECT r.doc_id, b FROM reach r JOIN near ON other = a
+        )
+        SELECT r.doc_id, min(other) AS class_id, CAST(coalesce(max(links), 0) AS BIGINT) AS n_links
+        FROM reach r LEFT JOIN (SELECT a, count(*) AS links FROM near GROUP BY a) ON a = r.doc_id GROUP BY r.doc_id
+    """,
+    "op6_line_dedup": r"""
+        WITH RECURSIVE raw AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
+        ), line AS (
+            SELECT doc_id, pos, raw, trim(raw, ' ') AS line FROM raw
+        ), long_line AS (
+            SELECT line, length(line) AS n, BYTES AS bytes FROM line WHERE length(line) >= 30 GROUP BY line
+        ), segment AS (
+            SELECT line, bytes, n, i, n * i // 3 AS at, substr(bytes, n * i // 3 + 1, n * (i + 1) // 3 - n * i // 3) AS s FROM long_line, range(3) t(i)
+        ), probe AS (
+            SELECT line, bytes, m, i, substr(bytes, m * i // 3 + 1 + shift, m * (i + 1) // 3 - m * i // 3) AS s
+            FROM long_line, range(3) t(i), range(-2, 3) u(shift), range(-2, 3) v(gap), LATERAL (SELECT n + gap AS m) WHERE m * i // 3 + shift >= 0
+        ), near AS (
+            SELECT DISTINCT a.line AS a, b.line AS b FROM segment a JOIN probe b ON a.n = b.m AND a.i = b.i AND a.s = b.s AND a.line <> b.line WHERE levenshtein(a.bytes, b.bytes) <= 2
+        ), linked AS (
+            SELECT a, b FROM near UNION SELECT b, a FROM near
+        ), reach(line, other) AS (
+            SELECT DISTINCT a, a FROM linked UNION SELECT r.line, b FROM reach r JOIN linked ON other = a
+        ), class AS (
+            SELECT line, min(other) AS class FROM reach GROUP BY line
+        ), judged AS (
+            SELECT doc_id, pos, raw, length(line.line) < 10 OR row_number() OVER (PARTITION BY coalesce(class, line.line) ORDER BY doc_id, pos) = 1 AS stays FROM line LEFT JOIN class ON class.line = line.line
+        ), kept AS (
+            SELECT doc_id, CAST(count(*) FILTER (NOT stays) AS INTEGER) AS lines_dropped, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (stays), '') AS text FROM judged GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(lines_dropped, 0) AS lines_dropped, CAST(length(kept.text) AS BIGINT) AS n_chars, kept.text AS text FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+    """.replace("BYTES", _single_bytes("line")),
+    "op8_benchmark_decontamination": r"""
+        WITH item AS (
+            SELECT item_id, BYTES AS t, length(t) AS n, CAST(floor(n * 0.08) AS INTEGER) AS budget FROM benchmark WHERE trim(t) <> ''
+        ), doc AS (
+            SELECT doc_id, BYTES AS t, length(t) AS size FROM documents
+        ), piece AS (
+            SELECT item_id, t AS item, n, budget, n * i // (budget + 1) AS skipped, substr(t, n * i // (budget + 1) + 1, n * (i + 1) // (budget + 1) - n * i // (budget + 1)) AS piece
+            FROM item, LATERAL (SELECT unnest(range(budget + 1)) AS i)
+        ), hit AS (
+            SELECT DISTINCT doc_id, item_id, t, size, item, n, budget, unnest(list_filter(range(size - length(piece) + 1), lambda p: substr(t, p + 1, length(piece)) = piece)) - skipped AS start
+            FROM doc JOIN piece ON contains(t, piece)
+        ), place AS (
+            SELECT doc_id, item_id, t, size, item, n, budget, start, unnest(range(greatest(0, start - budget), start + budget + 1)) AS lo FROM hit
+        ), span AS (
+            SELECT doc_id, item_id, t, item, budget, lo, unnest(range(greatest(start + n - budget, lo + n - budget), least(size, start + n + budget, lo + n + budget) + 1)) AS hi FROM place
+        ), passage AS (
+            SELECT DISTINCT doc_id, item_id, item, budget, substr(t, lo + 1, hi - lo) AS passage FROM span
+        )
+        SELECT doc_id, item_id, CAST(min(levenshtein(passage, item)) AS INTEGER) AS edits FROM passage GROUP BY doc_id, item_id, budget HAVING edits <= budget
+    """.replace("BYTES", _single_bytes(r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))")),
     "op9_chat_formatting": r"""
         WITH rows AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+            SELECT conv_id, CASE WHEN conv_id IS NULL THEN {'a': turn, 'b': role, 'c': text} END AS apart, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
         ), whole AS (
             SELECT conv_id, count(*) AS n_turns,
                 string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
                 coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
                 sum(length('<|im_start|>' || replace(role, '<|', '<||') || chr(10) || replace(text, '<|', '<||') || '<|im_end|>' || chr(10))) AS formatted_chars
-            FROM rows GROUP BY conv_id
+            FROM rows GROUP BY conv_id, apart
         )
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
             CAST(formatted_chars AS BIGINT) AS formatted_chars FROM whole

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import __spark_entry__
-from quadloom.llm import decontaminate
+from quadloom.llm import decontaminate, queries, token_counts
 from quadloom.llm.line_dedup import edit_distance_within
 from quadloom.llm.shingles import shingle_hashes
 
@@ -33,7 +33,7 @@ def test_stages(spark, tmp_path):
     for a in lines:
         for n in range(len(a) - 2, len(a) + 3):
             for b in by_length[n]:
-                if min(len(a), len(b)) >= 48 and edit_distance_within(a, b, 2) is not None:
+                if min(len(a), len(b)) >= 30 and edit_distance_within(a, b, 2) is not None:
                     parent[find(a)] = find(b)
         by_length[len(a)].append(a)
     seen, want = set(), {}
@@ -62,11 +62,12 @@ def test_stages(spark, tmp_path):
 
     before, after = ({r.doc_id: decontaminate.normalise(r.text) for r in x.collect()} for x in kept["benchmark_decontamination"])
     items = [decontaminate.normalise(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    leaked = {d for d, t in before.items() if any(decontaminate.best_match(i, t)[0] <= decontaminate.budget(i, 0.08, 14) for i in items)}
+    leaked = {d for d, t in before.items() if any(decontaminate.best_match(i, t)[0] <= int(len(i) * 0.08) for i in items)}
     assert set(after) == set(before) - leaked
 
     before, packed = kept["best_fit_packing"]
-    words = {r.doc_id: len((r.text or "").split()) for r in before.collect()}
+    counted = token_counts.LongestMatch(token_counts.read_vocabulary(str(queries.tokenizer_file("piece_bpe_32k.model"))))
+    words = {r.doc_id: sum(map(counted.count, (r.text or "").split())) for r in before.collect()}
     held = Counter()
     for r in packed.collect():
         held[r.doc_id] += r.length
