@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link_buckets, with_values
+from .linking import link_buckets, near_apart, with_values
 from .runtime import compact, cut, fresh, ship, small
 from .shingles import BoundedCache
 
@@ -175,13 +175,14 @@ def near_lines(docs: DataFrame, lines: DataFrame, threshold: int = 2, min_near:
 
         return with_values(pairs, texts).mapInArrow(check, "a long, b long")
 
-    def payloads(wanted: DataFrame) -> DataFrame:
-        return texts.join(small(wanted), "node", "left_semi").select("node", F.col("value").alias("payload"))
-
-    def near(bucket: int, one: str, others: list[str]) -> list[bool]:
+    def near(one: str, others: list[str]) -> list[bool]:
         return [edit_distance_within(one, other, threshold) is not None for other in others]
 
-    comp = link_buckets(rows, verify, payloads, near)[1]
+    def apart(live: DataFrame) -> DataFrame:
+        wanted = small(compact(live.select("node").distinct()))
+        return near_apart(live, texts.join(wanted, "node", "left_semi").select("node", F.col("value").alias("payload")), near)
+
+    comp = link_buckets(rows, verify, apart)
     return texts.join(small(comp), "node").select("node", _check("value").alias("check"), "comp")
 
 
@@ -210,7 +211,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     repeated = compact(repeated.select("node", "check", "class", "part").join(first, ["class", "part"]))
     hits = cut(places.join(small(repeated), ["node", "check"]).select("id", "none", "row", "pos", "class", "part", "first_id"))
     kept = hits.where("id = first_id").groupBy("class", "part").agg(F.min(F.struct("none", "row", "pos")).alias("kept"))
-    dropped = hits.join(small(compact(kept)), ["class", "part"]).where((F.col("id") != F.col("first_id")) | (F.struct("none", "row", "pos") != F.col("kept")))
+    dropped = hits.join(kept, ["class", "part"]).where((F.col("id") != F.col("first_id")) | (F.struct("none", "row", "pos") != F.col("kept")))
     drops = cut(dropped.groupBy("id", "none", "row").agg(F.array_sort(F.collect_set("pos")).alias("at")))
     # for each line up to the last that goes, whether it stays
     gap = lambda i: F.get("at", i) - F.when(i == 0, -1).otherwise(F.get("at", i - 1)) - 1

@@ -2,9 +2,9 @@
 
 A bucket holds nodes that may be near each other. Small buckets are checked pair by pair, which is a bounded number for
 each member. In a large bucket every member is first checked against one pivot. Where that leaves members outside the
-bucket's largest class, each of these is compared with all members of other classes: in chunks, inside the worker, which
-returns only the pairs that pass. So no link between classes is lost, a group of near copies costs one check a member,
-and rows grow with the members and not with their pairs.
+bucket's largest class, they are compared with all members of other classes: in chunks, inside the worker, which returns
+only links that connect classes. So no connection is lost, a group of near copies costs one check a member, and rows
+grow with the members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -58,38 +58,44 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _pairs_apart(live: DataFrame, payloads: DataFrame, near: Callable[[int, object, list], list[bool]]) -> DataFrame:
-    """``a < b`` for members of different classes that are ``near``; ``live``: bucket, node, indexed, comp."""
+def near_apart(live: DataFrame, payloads: DataFrame, near: Callable[[object, list], list[bool]]) -> DataFrame:
+    """Links ``a, b`` between members of different classes of a bucket; ``live``: bucket, node, indexed, comp; ``payloads``: node, payload.
+
+    Members outside a bucket's largest class are compared with all members of other classes, in chunks, inside the
+    worker, which returns one link at most between a member and a class of a chunk.
+    """
     sizes = live.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("n"))
     open_ = cut(live.join(main.select("bucket", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.k")).alias("others")), "bucket").join(payloads, "node"))
     chunk = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("others") / CHUNK)))
     rest = open_.where("comp <> main").select("bucket", chunk.alias("chunk"), F.struct("node", "comp", "indexed", "payload").alias("m"))
     rest = rest.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("ms"))
-    met = open_.select("bucket", "node", "comp", "indexed", "payload", "main").join(rest, "bucket").select("bucket", "node", "comp", "indexed", "payload", "main", "ms")
+    met = open_.select("bucket", "node", "comp", "indexed", "payload", "main").join(rest, "bucket").select("node", "comp", "indexed", "payload", "main", "ms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for lo in range(0, batch.num_rows, 256):
-                for bucket, node, comp, indexed, payload, main, ms in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                for node, comp, indexed, payload, main, ms in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
                     # two members outside the main class meet twice; once is enough
                     ms = [m for m in ms if m["comp"] != comp and m["indexed"] + indexed > 0 and (comp == main or node < m["node"])]
-                    for m, ok in zip(ms, near(bucket, payload, [m["payload"] for m in ms]), strict=True):
+                    linked = {}
+                    for m, ok in zip(ms, near(payload, [m["payload"] for m in ms]), strict=True):
                         if ok:
-                            a.append(min(node, m["node"]))
-                            b.append(max(node, m["node"]))
+                            linked.setdefault(m["comp"], m["node"])
+                    a += [node] * len(linked)
+                    b += linked.values()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long")
 
 
-def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payloads: Callable[[DataFrame], DataFrame], near: Callable[[int, object, list], list[bool]]) -> tuple[DataFrame, DataFrame]:
-    """Verified links ``a, b`` and the components ``node, comp`` of nodes that have a link.
+def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], apart: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The components ``node, comp`` of nodes that have a link.
 
     ``rows``: ``bucket, node, indexed`` (two longs, 0 or 1; distinct). Of two members at least one must be indexed.
-    ``verify`` keeps the linked ones of the pairs ``a, b``. ``payloads`` gives ``node, payload`` for a table of
-    nodes, ``near`` tells which payloads of a list may be linked with one in a bucket; ``verify`` has the last word. Buckets are
+    ``verify`` keeps the linked ones of the pairs ``a, b``. ``apart`` is given the members ``bucket, node, indexed, comp``
+    of large buckets with several classes, and returns links that connect what is linked between them. Buckets are
     counted with sums that are combined before the shuffle; only rows of buckets with two members or more go on.
     """
     entry = F.when(F.col("indexed") == 1, F.col("node"))
@@ -101,12 +107,10 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payl
     comp = components(links)
     live = members.where(large).select("bucket", "node", "indexed")
     live = live.join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = live.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    live = compact(live.join(apart, "bucket"))
+    several = live.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+    live = compact(live.join(several, "bucket"))
     if not live.isEmpty():
-        pairs = _pairs_apart(live, payloads(live.select("node").distinct()), near)
-        more = compact(_ordered(verify(compact(pairs.join(links, ["a", "b"], "left_anti")))))
+        more = compact(_ordered(apart(live)))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = components(links)
-    return links, comp
+            comp = components(links.unionByName(more))
+    return comp

@@ -2,13 +2,14 @@
 
 MinHash with banding: the numbers of bands and rows follow from the recall that is asked for at the threshold. Equal
 n-gram sets are one node from the start, so copies never meet each other. Nodes are shuffled on band hashes, candidates
-are verified on their full n-gram sets. Links are then counted within each class, by comparing its full sets in chunks.
+are verified on their full n-gram sets: by the pair, or, where a large bucket holds several classes after that, group by
+group in chunks. Links are then counted within each class, by comparing its full sets in chunks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .linking import link_buckets, with_values
 from .runtime import compact, cut, fresh, ship, small
 from .shingles import mix64, shingle_hashes
@@ -44,8 +46,8 @@ def _multipliers(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, 1 << 32, hashes, np.uint32) | np.uint32(1), draw.integers(0, 1 << 32, hashes, np.uint32)
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of some n-gram sets: a 64-bit hash for each band, and a byte for each minimum. An empty set has the hashes of no minimum."""
+def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """Of some n-gram sets: a 64-bit hash for each band. An empty set has the hashes of no minimum."""
     times, plus = _multipliers(bands * rows)
     least = np.full((len(sets), bands * rows), 0xFFFFFFFF, np.uint32)
     for at, grams in enumerate(sets):
@@ -54,32 +56,11 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarra
             v = low[lo : lo + 1024, None] * times
             v += plus
             np.minimum(least[at], v.min(axis=0), out=least[at])
-    sketch = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
     least = least.reshape(len(sets), bands, rows).astype(np.uint64)
     key = mix64(np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), bands)))
     for r in range(rows):
         key = mix64(key ^ least[:, :, r])
-    return key, sketch
-
-
-def near_sketches(least: float, bands: int):
-    """Whether the bytes of minima of two sketches agree in a share of at least ``least``.
-
-    A payload is the band hashes followed by the bytes. A pair counts in the first of the buckets that it shares only:
-    where that one is small, it has been verified before.
-    """
-
-    def near(bucket: int, one: bytes, others: list[bytes]) -> list[bool]:
-        if not others:
-            return []
-        table = np.frombuffer(b"".join(others), np.uint8).reshape(len(others), -1)
-        mine = np.frombuffer(one, np.uint8)
-        keys = np.ascontiguousarray(table[:, : 8 * bands]).view(np.int64)
-        own = mine[: 8 * bands].view(np.int64)
-        first = own[np.argmax(keys == own, axis=1)] == bucket
-        return (first & ((table[:, 8 * bands :] == mine[8 * bands :]).mean(axis=1) >= least)).tolist()
-
-    return near
+    return key
 
 
 def _names(sets: list[np.ndarray]) -> np.ndarray:
@@ -88,7 +69,7 @@ def _names(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, row, k1, k2, size, bands, sketch`` of ``doc_id, row, text``: the name of the n-gram set, its size, its band hashes, and these with the bytes of its minima."""
+    """``doc_id, row, k1, k2, size, bands`` of ``doc_id, row, text``: the name of the n-gram set, its size and its band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,12 +77,11 @@ def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 part = batch.slice(lo, 256)
                 sets = [shingle_hashes(t.as_py(), words) for t in part.column(2)]
                 names = _names(sets)
-                keys, sketch = signatures(sets, bands, rows)
+                keys = signatures(sets, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                payload = pa.array([k.tobytes() + x.tobytes() for k, x in zip(keys, sketch, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int64()), lists, payload], ["doc_id", "row", "k1", "k2", "size", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int64()), lists], ["doc_id", "row", "k1", "k2", "size", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, k1 long, k2 long, size long, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, row long, k1 long, k2 long, size long, bands array<long>")
 
 
 def _gram_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -160,50 +140,83 @@ def near_matrix(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> n
     return shared >= threshold * (sizes[:n, None] + size_b[None, :] - shared)
 
 
-def _links_of(table: pa.Table, threshold: float) -> pa.Table:
-    """``node, others`` for two chunks of a class, or one and itself: the copies of the sets that are near a node's."""
+def _two_sides(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Rows of one chunk, rows of the other (or the same), which of them are near each other, and whether it is the same."""
     values = table["value"].combine_chunks()
     ends, flat = values.offsets.to_numpy(), values.values.to_numpy()
-    chunk, node, copies = (table[c].to_numpy() for c in ("chunk", "node", "copies"))
+    chunk, node = (table[c].to_numpy() for c in ("chunk", "node"))
     sides: list[dict[int, int]] = [{}, {}]
     for i in range(table.num_rows):  # a text that occurs twice is here twice
         sides[int(chunk[i] != chunk[0])].setdefault(int(node[i]), i)
     one, two = (np.array(list(s.values()), np.int64) for s in sides)
-    if table["lo"][0] != table["hi"][0] and not len(two):  # the other chunk is empty
-        return pa.table({"node": pa.array([], pa.int64()), "others": pa.array([], pa.int64())})
-    two = two if len(two) else one
+    same = table["lo"][0] == table["hi"][0]
+    if same:
+        two = one
+    elif not len(two):  # the other chunk is empty
+        return one, two, np.zeros((len(one), 0), bool), False
     a = [flat[ends[i] : ends[i + 1]] for i in one]
-    near = near_matrix(a, a if two is one else [flat[ends[i] : ends[i + 1]] for i in two], threshold)
+    return one, two, near_matrix(a, a if same else [flat[ends[i] : ends[i + 1]] for i in two], threshold), same
+
+
+def _links_of(table: pa.Table, threshold: float) -> pa.Table:
+    """``node, others`` for two chunks of a class, or one and itself: the copies of the sets that are near a node's."""
+    one, two, near, same = _two_sides(table, threshold)
+    node, copies = (table[c].to_numpy() for c in ("node", "copies"))
     near &= node[one][:, None] != node[two][None, :]
-    out = [(node[one], near @ copies[two])] + ([] if two is one else [(node[two], near.T @ copies[one])])
+    out = [(node[one], near @ copies[two])] + ([] if same else [(node[two], near.T @ copies[one])])
     return pa.table({"node": pa.array(np.concatenate([x for x, _ in out])), "others": pa.array(np.concatenate([y for _, y in out]).astype(np.int64))})
 
 
+def _connect(table: pa.Table, threshold: float) -> pa.Table:
+    """``a, b``: links that connect what is near in two chunks, one for each two classes at most."""
+    one, two, near, _ = _two_sides(table, threshold)
+    node, comp = (table[c].to_numpy() for c in ("node", "comp"))
+    left, right, a, b = comp[one].copy(), comp[two].copy(), [], []
+    for i in range(len(one)):
+        while True:
+            apart = near[i] & (right != left[i])
+            j = int(np.argmax(apart)) if apart.any() else -1
+            if j < 0:
+                break
+            a.append(int(node[one[i]]))
+            b.append(int(node[two[j]]))
+            old = right[j]  # from here on the two classes are one
+            left[left == old] = left[i]
+            right[right == old] = left[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _chunks_meet(texts: DataFrame, members: DataFrame, words: int, meet: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``meet`` for each two chunks of a group, and each with itself; ``members`` (cut): node, row, k1, k2, size, group, and further longs.
+
+    A group is dealt by hash into chunks of about ``CHUNK_GRAMS``; each two chunks meet in one worker. So a task is
+    bounded whatever the size of a group, and what is shuffled is its n-grams times the number of its chunks.
+    """
+    sizes = members.groupBy("group").agg(F.ceil(F.sum(F.greatest("size", F.lit(LEAST_GRAMS))) / CHUNK_GRAMS).alias("chunks"))
+    placed = members.join(small(compact(sizes)), "group").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).drop("size")
+    sets = _gram_sets(texts, compact(placed), words)
+    met = sets.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    met = met.withColumn("lo", F.least("chunk", "with")).withColumn("hi", F.greatest("chunk", "with")).drop("with", "chunks")
+    # tasks are few bytes and much work: they keep their number
+    met = met.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "lo", "hi")
+    return met.groupBy("group", "lo", "hi").applyInArrow(meet, schema)
+
+
 def _count_links(texts: DataFrame, nodes: DataFrame, comp: DataFrame, words: int, threshold: float) -> DataFrame:
     """``node, others``: of each node with a link, the number of documents with other n-gram sets that are near its own.
 
-    A class is dealt by hash into chunks of about ``CHUNK_GRAMS``; each two chunks meet in one worker, which returns a
-    sum for each member and no pairs. So a task is bounded whatever the size of a class, all its links count, and what
-    is shuffled is its n-grams times the number of its chunks.
+    The chunks of a class meet; a worker returns a sum for each member and no pairs, so all links of a class count.
     """
-    members = cut(nodes.join(small(comp), "node").select("node", "row", "k1", "k2", "comp", "copies", "size"))
-    sizes = members.groupBy("comp").agg(F.ceil(F.sum(F.greatest("size", F.lit(LEAST_GRAMS))) / CHUNK_GRAMS).alias("chunks"))
-    placed = members.join(small(sizes), "comp")
-    placed = compact(placed.select("node", "row", "k1", "k2", "comp", "copies", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks"))
-    sets = _gram_sets(texts, placed, words)
-    met = sets.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    met = met.select("node", "value", "copies", "chunk", "comp", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"))
-    # tasks are few bytes and much work: they keep their number
-    met = met.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "comp", "lo", "hi")
-    return met.groupBy("comp", "lo", "hi").applyInArrow(lambda t: _links_of(t, threshold), "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
+    members = cut(nodes.join(small(comp), "node").select("node", "row", "k1", "k2", "size", F.col("comp").alias("group"), "copies"))
+    return _chunks_meet(texts, members, words, lambda t: _links_of(t, threshold), "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
 
 
-def _join(base: DataFrame, words: int, threshold: float, recall: float, max_hashes: int, deviations: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _join(base: DataFrame, words: int, threshold: float, recall: float, max_hashes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For ``doc_id, row, text``: what ``_sign`` gives, the nodes, and the components ``node, comp`` of nodes with a link."""
     bands, rows = band_layout(threshold, recall, max_hashes)
     signed = cut(_sign(base, words, bands, rows))
     # one node for each n-gram set; its number is fixed by the cut, its text is found again by the hash of one that has it
-    sets = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()))
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.lit(1).alias("indexed"))
 
@@ -214,11 +227,15 @@ def _join(base: DataFrame, words: int, threshold: float, recall: float, max_hash
         shared = F.size(F.array_intersect("va", "vb"))
         return met.where(shared >= threshold * (F.size("va") + F.size("vb") - shared)).select("a", "b")
 
-    def sketches(wanted: DataFrame) -> DataFrame:
-        return nodes.select("node", F.col("sketch").alias("payload")).join(small(wanted), "node", "left_semi")
+    def apart(live: DataFrame) -> DataFrame:
+        # classes that meet in some bucket are one group, whose members are all compared on their full sets
+        first = live.groupBy("bucket").agg(F.min("comp").alias("a"))
+        groups = components(live.join(first, "bucket").where("comp <> a").select("a", F.col("comp").alias("b")).distinct())
+        members = live.select("node", "comp").distinct().join(small(groups.toDF("comp", "group")), "comp")
+        members = cut(nodes.select("node", "row", "k1", "k2", "size").join(members, "node"))
+        return _chunks_meet(base, members, words, lambda t: _connect(t, threshold), "a long, b long")
 
-    least = 0.0 if deviations is None else threshold - deviations * math.sqrt(threshold * (1 - threshold) / (bands * rows))
-    return signed, nodes, link_buckets(buckets, verify, sketches, near_sketches(least, bands))[1]
+    return signed, nodes, link_buckets(buckets, verify, apart)
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -227,7 +244,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def ngram_join(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256, deviations: float | None = None, count_links: bool = True
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256, count_links: bool = True
 ) -> DataFrame:
     """``doc_id, class_id, n_links`` for each row of ``docs``.
 
@@ -237,13 +254,11 @@ def ngram_join(
     each other. Each row is a document: rows that repeat an id, and rows with a null id, are joined by their own texts
     (a class of rows without ids has a null class). Other columns are ignored; an empty table gives an empty result.
 
-    Every candidate pair of the bands is verified on its full n-gram sets. ``deviations`` leaves pairs of large buckets
-    out before that if their minima agree less often than at the threshold less so many standard deviations; None (the
-    default) leaves none out.
+    Every candidate pair of the bands is verified on its full n-gram sets, unless other links connect the two.
     """
     ship(docs.sparkSession)
     base = _base(docs, id_col, text_col)
-    signed, nodes, comp = _join(base, words, threshold, recall, max_hashes, deviations)
+    signed, nodes, comp = _join(base, words, threshold, recall, max_hashes)
     classes = nodes.select("k1", "k2", "node", "copies", "least_id").join(small(comp), "node", "left")
     least = classes.where("comp is not null").groupBy("comp").agg(F.min("least_id").alias("class_least"))
     classes = classes.join(small(compact(least)), "comp", "left").withColumn("class_id", F.when(F.col("comp").isNull(), F.col("least_id")).otherwise(F.col("class_least")))
@@ -254,7 +269,7 @@ def ngram_join(
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256, deviations: float | None = None) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256) -> DataFrame:
     """One row of ``docs`` for each class of near duplicates, with all its columns.
 
     The row with the least id stays (null ids come last), among these the one whose text has the least hash, and of
@@ -263,7 +278,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     ship(docs.sparkSession)
     base = _base(docs, id_col, text_col)
-    signed, nodes, comp = _join(base, words, threshold, recall, max_hashes, deviations)
+    signed, nodes, comp = _join(base, words, threshold, recall, max_hashes)
     groups = nodes.select("k1", "k2", "copies", F.col("node").alias("n")).join(small(comp), F.col("n") == F.col("node"), "left").where("copies > 1 or comp is not null")
     groups = compact(groups.select("k1", "k2", F.coalesce("comp", "n").alias("comp")))
     # the rows of classes with two rows or more: ids and hashes

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -288,12 +289,30 @@ def test_large_buckets_lose_no_pair(spark):
     assert {r.doc_id for r in ngram_join.drop_near_duplicates(docs).collect()} == set(want.values())
 
 
-def test_sketches_agree_by_share():
-    bands, rows = ngram_join.band_layout()
-    keys = np.arange(bands, dtype=np.int64).tobytes()
-    others = [keys + bytes(k) + b"\1" * (bands * rows - k) for k in range(bands * rows + 1)]
-    assert all(ngram_join.near_sketches(0.0, bands)(0, others[-1], others)) and not any(ngram_join.near_sketches(0.0, bands)(1, others[-1], others))
-    assert sum(ngram_join.near_sketches(0.5, bands)(0, others[-1], others)) == bands * rows // 2 + 1
+@pytest.mark.parametrize("same", [True, False])
+def test_connecting_links(same):
+    """Links between two chunks: as many as it takes to connect what is near, and none between sets that are not."""
+    rng = np.random.default_rng(6)
+    bases = [rng.integers(0, 1 << 62, 50) for _ in range(3)]
+    sets = [np.unique(np.r_[bases[k % 3][rng.random(50) < 0.94], rng.integers(0, 1 << 62, rng.integers(0, 3))]) for k in range(36)]
+    node, chunk = np.arange(36) + 100, np.zeros(36, np.int64) if same else np.arange(36) % 2
+    comp = np.where(np.arange(36) < 12, np.arange(36) % 3 + 900, node)
+    table = pa.table({"node": node, "comp": comp, "chunk": chunk, "value": pa.array([x.tolist() for x in sets], pa.list_(pa.int64())), "lo": np.zeros(36, np.int64), "hi": np.full(36, 0 if same else 1)})
+    out = ngram_join._connect(table, 0.8)
+    near = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    pairs = list(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+    assert all(near(sets[a - 100], sets[b - 100]) for a, b in pairs) and len(pairs) < 36
+    group = {int(n): int(c) for n, c in zip(node, comp, strict=True)}
+    merge = lambda g, x, y: {n: g[x] if c == g[y] else c for n, c in g.items()}
+    want = dict(group)
+    for i in range(36):
+        for j in range(36):
+            if (same or chunk[i] != chunk[j]) and near(sets[i], sets[j]):
+                want = merge(want, 100 + i, 100 + j)
+    for a, b in pairs:
+        group = merge(group, a, b)
+    blocks = lambda g: {frozenset(n for n in g if g[n] == c) for c in g.values()}
+    assert blocks(group) == blocks(want)
 
 
 def test_values_of_hubs(spark):
