@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a narrow table (at most five longs each) that may be broadcast: some 16 MB as a hash table.
-BROADCAST_ROWS = 250_000
+#: Rows of a narrow table (at most six longs each) that may be broadcast: some 10 MB as a hash table.
+BROADCAST_ROWS = 100_000
 
 _scopes = threading.local()
 
