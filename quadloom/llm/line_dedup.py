@@ -210,8 +210,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first = repeated.groupBy("class", "part").agg(F.min("first_id").alias("first_id"))
     repeated = compact(repeated.select("node", "check", "class", "part").join(first, ["class", "part"]))
     hits = cut(places.join(small(repeated), ["node", "check"]).select("id", "none", "row", "pos", "class", "part", "first_id"))
-    kept = hits.where("id = first_id").groupBy("class", "part").agg(F.min(F.struct("none", "row", "pos")).alias("kept"))
-    dropped = hits.join(kept, ["class", "part"]).where((F.col("id") != F.col("first_id")) | (F.struct("none", "row", "pos") != F.col("kept")))
+    # whatever the size of a class, only its lines under the first id need a closer look
+    first = hits.where("id = first_id")
+    kept = first.groupBy("class", "part").agg(F.min(F.struct("none", "row", "pos")).alias("kept"))
+    dropped = first.join(kept, ["class", "part"]).where(F.struct("none", "row", "pos") != F.col("kept")).select("id", "none", "row", "pos")
+    dropped = dropped.unionByName(hits.where("id <> first_id").select("id", "none", "row", "pos"))
     drops = cut(dropped.groupBy("id", "none", "row").agg(F.array_sort(F.collect_set("pos")).alias("at")))
     # for each line up to the last that goes, whether it stays
     gap = lambda i: F.get("at", i) - F.when(i == 0, -1).otherwise(F.get("at", i - 1)) - 1
