@@ -18,8 +18,8 @@ from .runtime import cut, fresh, row_key, ship, small
 
 #: Characters of test items that one automaton holds (some 100 bytes each); more items go in further blocks.
 BLOCK_CHARS = 1_000_000
-#: Automata that a worker keeps, and texts that meet one before the next.
-MATCHERS, BATCH_ROWS = 2, 2_000
+#: Automata that a worker keeps, and characters of texts that meet one before the next.
+MATCHERS, BATCH_CHARS = 2, 4_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -130,20 +130,24 @@ def _search(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col
         matcher = lru_cache(MATCHERS)(lambda k: Matcher(blocks[k].value, rate))
         turn = 0
         for batch in batches:
-            kept, found = [], []
-            for lo in range(0, batch.num_rows, BATCH_ROWS):  # each block meets a batch of whole texts, in one scan of the corpus
-                texts = [normalise(t.as_py()) for t in batch.column("text").slice(lo, BATCH_ROWS)]
+            kept, found, column, lo = [], [], batch.column("text"), 0
+            while lo < batch.num_rows:
+                # whole texts of some BATCH_CHARS meet block by block, in one scan of the corpus
+                texts, held = [], 0
+                while lo + len(texts) < batch.num_rows and (not texts or len(blocks) > 1 and held < BATCH_CHARS):
+                    texts.append(normalise(column[lo + len(texts)].as_py()))
+                    held += len(texts[-1])
                 # to and fro, so that the last automaton of a turn is the first of the next
                 for k in range(len(blocks))[:: -1 if turn % 2 else 1]:
                     for at, text in enumerate(texts, lo):
                         leaks = matcher(k).find(text)
                         kept += [at] * len(leaks)
                         found += leaks
-                turn += 1
+                lo, turn = lo + len(texts), turn + 1
             kinds = (pa.int64(), pa.int32(), pa.int32())
             columns = zip(*found, strict=True) if found else [[]] * 3
-            rows = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*names, "item_id", "edits", "occurrences"])
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*names, "item_id", "edits", "occurrences"])
 
     return texts.mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "item_id long", "edits int", "occurrences int"]))
 

@@ -136,7 +136,7 @@ def _keys(docs: DataFrame, threshold: int, min_near: int, index: bool) -> DataFr
                         buckets += [digest(line[start:end], seed) for start, end, seed in plan]
                         nodes.append(node)
                         counts.append(len(plan))
-                    if len(seen) > 500_000:
+                    if len(seen) > 250_000:
                         seen.clear()
                 node = np.repeat(np.array(nodes, np.uint64), counts).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(buckets, np.uint64).view(np.int64)), pa.array(node)], ["bucket", "node"])

@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .linking import link_buckets, with_values
 from .runtime import compact, cut, fresh, ship, small
-from .shingles import mix64, shingle_hashes
+from .shingles import forget_words, mix64, shingle_hashes
 
 #: About as many n-grams has a chunk of a class. A set counts as LEAST_GRAMS at least, so a chunk's sets are bounded too.
-CHUNK_GRAMS, LEAST_GRAMS = 1 << 18, 128
-COLUMNS = 2048
+CHUNK_GRAMS, LEAST_GRAMS = 1 << 17, 128
+COLUMNS = 1024
 
 
 def band_layout(threshold: float = 0.8, recall: float = 0.999, max_hashes: int = 256) -> tuple[int, int]:
@@ -80,6 +80,7 @@ def _sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 keys = signatures(sets, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int64()), lists], ["doc_id", "row", "k1", "k2", "size", "bands"])
+        forget_words()
 
     return docs.mapInArrow(run, "doc_id long, row long, k1 long, k2 long, size long, bands array<long>")
 
@@ -102,6 +103,7 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(1), lists, *part.columns[4:]], ["node", "value", *more]).filter(right)
+        forget_words()
 
     schema = ", ".join(["node long", "value array<long>", *(f"{c} long" for c in more)])
     return rows.select("text", "node", "k1", "k2", *more).mapInArrow(run, schema)

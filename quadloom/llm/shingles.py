@@ -32,7 +32,13 @@ class BoundedCache(dict):
         return value
 
 
-_WORDS = BoundedCache(xxhash.xxh3_64_intdigest)
+_WORDS = BoundedCache(xxhash.xxh3_64_intdigest, 100_000)
+
+
+def forget_words() -> None:
+    """Free what ``shingle_hashes`` has kept; a worker that is done with a task may be used for other work next."""
+    _WORDS.clear()
+    _WORDS.older.clear()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
