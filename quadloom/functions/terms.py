@@ -18,6 +18,8 @@ _BLANK = r"(?U)^[\s|]*$"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _PLACEHOLDER = re.compile(r"(?<!\\)\{(.+?)(?<!\\)\}")
 _DECIMAL = r"^-?[0-9]+\.[0-9]+$"
+#: Decimals of up to 15 digits that no exponent is needed for: zeros at the ends are all that goes.
+_PLAIN = r"^-?(?:0*[1-9][0-9]*\.[0-9]+|0+\.(?:0{0,3}[1-9][0-9]*|0+))$"
 
 
 def present(value: Column) -> Column:
@@ -38,10 +40,58 @@ def encode(value: Column) -> Column:
     return out
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _positional(text: Column) -> Column:
+    """Digits of a number's text (with or without an exponent) as a repr shows them: an exponent below 1e-4 and from 1e16 on."""
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    whole, fraction = F.regexp_extract(text, r"^-?([0-9]+)", 1), F.regexp_extract(text, r"\.([0-9]+)", 1)
+    power = F.coalesce(F.nullif(F.regexp_extract(text, r"[eE]\+?(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    led = F.ltrim(F.concat(whole, fraction), F.lit("0"))
+    point = F.length(whole) + power - (F.length(whole) + F.length(fraction) - F.length(led))
+    parts = F.struct(sign.alias("sign"), F.rtrim(led, F.lit("0")).alias("digits"), point.alias("point"))
+
+    def shown(x: Column) -> Column:
+        digits, at, n = x["digits"], x["point"], F.length(x["digits"])
+        rest = F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+        power = F.abs(at - 1).cast("string")
+        exponent = F.concat(F.when(at > 0, "e+").otherwise("e-"), F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")))
+        body = (
+            F.when(n == 0, "0.0")
+            .when((at < -3) | (at > 16), F.concat(F.substr(digits, F.lit(1), F.lit(1)), rest, exponent))
+            .when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
+            .when(at >= n, F.concat(digits, F.repeat(F.lit("0"), at - n), F.lit(".0")))
+            .otherwise(F.concat(F.substr(digits, F.lit(1), at), F.lit("."), F.substr(digits, at + 1)))
+        )
+        return F.concat(x["sign"], body)
+
+    return _with(parts, shown)
+
+
+def _shortest(number: Column, text: Column) -> Column:
+    """The shortest digits that read as a double again; the JVM's own text may have more than it takes."""
+    digits = F.length(F.regexp_replace(text, "[eE].*|[^0-9]", ""))
+    tries = lambda *places: [F.when(F.format_string(f"%.{n}e", number).cast("double") == number, F.format_string(f"%.{n}e", number)) for n in places]
+    tiny = (F.abs(number) < 2.3e-308) & (number != 0)  # of these even few digits may be too many
+    return F.when(tiny, F.coalesce(*tries(*range(17)), text)).when(digits > 15, F.coalesce(*tries(14, 15, 16), text)).otherwise(text)
+
+
+def float_text(number: Column) -> Column:
+    """A double or float as the text of its shortest digits: ``0.1``, ``1e-12``, ``1e+16``, ``inf``; not a number is null."""
+    text = number.cast("string")
+    special = F.when(F.isnan(number), F.lit(None).cast("string")).when(F.contains(text, F.lit("Inf")), F.replace(F.lower(text), F.lit("inity"), F.lit("")))
+    return F.when(~text.rlike("[EIN]") & (F.length(text) <= 16), text).otherwise(special.otherwise(_positional(_shortest(number.cast("double"), text))))
+
+
 def normal_decimal(value: Column) -> Column:
-    """``007.10`` as ``7.1``; other texts as they are."""
-    shorter = F.regexp_replace(F.regexp_replace(value, "^(-?)0+(?=[0-9])", "$1"), r"(\.[0-9]+?)0+$", "$1")
-    return F.when(value.rlike(_DECIMAL), shorter).otherwise(value)
+    """``007.10`` as ``7.1``: a decimal's text as that of its double; other texts as they are."""
+    bare = F.ltrim(F.rtrim(F.ltrim(value, F.lit("-")), F.lit("0")), F.lit("0"))
+    shorter = F.concat(F.when(F.startswith(value, F.lit("-")), "-").otherwise(""), F.when(F.startswith(bare, F.lit(".")), "0").otherwise(""), bare, F.when(F.endswith(bare, F.lit(".")), "0").otherwise(""))
+    plain = (F.length(value) <= 16) & value.rlike(_PLAIN)
+    return F.when(~F.contains(value, F.lit(".")), value).when(plain, shorter).when(value.rlike(_DECIMAL), float_text(value.try_cast("double"))).otherwise(value)
 
 
 def template_parts(template: str) -> list[tuple[str, bool]]:
@@ -68,6 +118,7 @@ class Value(NamedTuple):
     text: Column  #: with decimals normalised
     stripped: Column
     encoded: Column  #: percent-encoded unless it has ``http``, then stripped
+    plain: Column  #: stripped only
     reference: Column  #: stripped, with double quotes as apostrophes
 
 
@@ -77,7 +128,8 @@ FORMS: tuple[tuple[str, Callable[[dict[str, Column]], Column]], ...] = (
     ("text", lambda v: normal_decimal(v["key"])),
     ("stripped", lambda v: strip(v["text"])),
     ("encoded", lambda v: strip(F.when(F.contains(v["text"], F.lit("http")), v["text"]).otherwise(encode(v["text"])))),
-    ("reference", lambda v: F.replace(strip(v["key"]), F.lit('"'), F.lit("'"))),
+    ("plain", lambda v: strip(v["key"])),
+    ("reference", lambda v: F.replace(v["plain"], F.lit('"'), F.lit("'"))),
 )
 
 
@@ -135,33 +187,36 @@ def subject_reference(text: Column, term_type: str | None, base: str) -> Column:
     return F.when(~F.contains(text, F.lit(" ")), plain)
 
 
-def object_constant(value: str, datatype: str | None = None) -> str:
+def object_constant(value: str, datatype: str | None = None, legacy: bool = True) -> str:
+    if not legacy and (datatype or "/" not in value):
+        for old, new in _ESCAPES:
+            value = value.replace(old, new)
     if datatype:
         return f'"{value}"^^<{datatype}>'
     return f"<{value}>" if "/" in value else f'"{value}"'
 
 
-def object_template(value: Column, term_type: str | None, datatype: str | None, suffix: Column | None) -> Column:
+def object_template(value: Column, term_type: str | None, datatype: str | None, suffix: Column | None, legacy: bool = True) -> Column:
     kind = term_type or ""
     if "BlankNode" in kind:
         label = encode(F.concat(F.lit("_:"), value))
         return F.replace(F.replace(label, F.lit("/"), F.lit("2F")), F.lit("."), F.lit("2E"))
     if "Literal" in kind:
-        text = F.concat(F.lit('"'), value, F.lit('"'))
+        text = F.concat(F.lit('"'), value if legacy else valid_escape(value), F.lit('"'))
         if datatype:
             return F.concat(text, F.lit(f"^^<{datatype}>"))
         return F.concat(text, suffix) if suffix is not None else text
     return iri(value)
 
 
-def object_reference(text: Column, term_type: str | None, datatype: str | None, suffix: Column | None) -> Column:
+def object_reference(text: Column, term_type: str | None, datatype: str | None, suffix: Column | None, legacy: bool = True) -> Column:
     kind = term_type or ""
     if not datatype and suffix is None:
         if "IRI" in kind:
             return F.when(~F.contains(text, F.lit(" ")), iri(encode(text)))
         if "BlankNode" in kind:
             return F.concat(F.lit("_:"), text)
-    quoted = F.concat(F.lit('"'), escape(text), F.lit('"'))
+    quoted = F.concat(F.lit('"'), escape(text) if legacy else valid_escape(text), F.lit('"'))
     if datatype:
         return F.concat(quoted, F.lit(f"^^<{datatype}>"))
     return F.concat(quoted, suffix) if suffix is not None else quoted
@@ -174,8 +229,19 @@ def escape(text: Column) -> Column:
     return text
 
 
+#: The escapes of a literal in N-Triples.
+_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def valid_escape(text: Column) -> Column:
+    """What N-Triples asks for, and no more."""
+    for old, new in _ESCAPES:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def language_suffix(language: str) -> str:
-    """The tag for a declared language; unusual ones have none."""
+    """The tag for a declared language; unusual ones have none. The names and tags."""
     for names, tag in ((("spanish", "es"), "@es"), (("english", "en"), "@en")):
         if any(n in language for n in names):
             return tag
@@ -206,10 +272,35 @@ def equal_fields(left: dict[str, Column], right: dict[str, Column]) -> Column:
     return sum(same[1:], same[0]) if same else F.lit(0)
 
 
+def key_name(columns: list[str]) -> str:
+    """Name of a composite key: its columns joined by underscores, but for one that the name so far contains."""
+    name = ""
+    for column in columns:
+        if column not in name:
+            name += f"{column}_"
+    return name[:-1]
+
+
+def has_columns(wanted: list[str], held: list[str]) -> bool:
+    """Whether all wanted columns are there."""
+    return set(wanted) <= set(held)
+
+
+def row_map(columns: list[str]) -> Column:
+    """A row as a map from column names to texts."""
+    return F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+
+
 def file_stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    """The last part of a path up to its first dot."""
+    return F.regexp_extract(path, r"([^/.]*)[^/]*$", 1)
+
+
+def brace_count(template: str) -> int:
+    """Opening braces, escaped ones too."""
+    return template.count("{")
 
 
 def clean_suffix(text: Column) -> Column:
-    """Letters, digits and ``_-()`` stay, slashes become hyphens, the rest goes."""
-    return F.regexp_replace(F.regexp_replace(text, "/", "-"), r"[^\p{L}\p{N}_()\-]", "")
+    """Letters, digits and ``_-()`` stay, slashes and backslashes become hyphens, the rest goes; a text with ``http`` stays as it is."""
+    return F.when(F.contains(text, F.lit("http")), text).otherwise(F.regexp_replace(F.translate(text, "/\\", "--"), r"[^\p{L}\p{N}_()\-]", ""))

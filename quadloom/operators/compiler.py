@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import count
 
@@ -22,19 +22,22 @@ from pyspark.sql import types as T
 from ..functions import terms
 from ..plans.model import LogicalSource, Mapping, TermMap, TriplesMap
 from ..plans.planner import Plan, plan, statement_shape
+from ..plans.turtle import RDF
 
-TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 COLUMNS = ["subject", "predicate", "object", "graph"]
 _FILTER = re.compile(r"^(.+?)\[\?\(@\.(.+?)\s*(==|!=)\s*(.+?)\)\](?:\.(.+))?$")
 
 
 @dataclass(frozen=True)
 class Options:
-    """``dedup``: distinct statements. ``graph_in_key``: two graphs make two statements. ``legacy_composite_key``: composite keys are equal if their joined text is."""
+    """``dedup``: distinct statements. ``graph_in_key``: two graphs make two statements. ``legacy_composite_key``: composite
+    keys are equal if their joined text is. ``legacy_escapes``: literals have apostrophes for double quotes, with two
+    backslashes before them; else they are escaped as N-Triples asks. ``persist``: keep inputs that several consumers join."""
 
     dedup: bool = True
     graph_in_key: bool = True
     legacy_composite_key: bool = False
+    legacy_escapes: bool = True
     persist: bool = False
 
 
@@ -94,8 +97,8 @@ def _walk(frame: DataFrame, path: str) -> tuple[Column | None, T.DataType | None
 def _as_text(column: Column, kind: T.DataType, name: str) -> Column:
     if isinstance(kind, T.StructType):
         raise ValueError(f"{name} is a structure; a field of it must be named")
-    if isinstance(kind, T.DoubleType | T.FloatType):  # a fixed scale, then without needless zeros: not the 1.2E7 of a cast
-        return terms.normal_decimal(column.cast("decimal(30,10)").cast("string"))
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return terms.float_text(column)
     return column if isinstance(kind, T.StringType) else column.cast("string")
 
 
@@ -116,8 +119,8 @@ class Compiler:
     def source(self, source: LogicalSource) -> DataFrame:
         """The rows of a source, with each form of the values that some map uses as a column; what is not used is pruned."""
         if source not in self.frames:
-            raw = self.read(source)
             names = list(dict.fromkeys(n for m in self.mapping.maps for n in self.names(m, source)))
+            raw = self.read(replace(source, columns=tuple(names)))
             steps: dict[str, dict[str, Column]] = {form: {} for form, _ in terms.FORMS}
             for at, name in enumerate(names):
                 column, made = field_of(raw, name), {}
@@ -170,15 +173,16 @@ class Compiler:
 
     def object(self, t: TermMap, source: LogicalSource) -> Column:
         if t.kind == "constant":
-            return F.lit(terms.object_constant(t.value, t.datatype))
-        suffix = None
+            return F.lit(terms.object_constant(t.value, t.datatype, self.options.legacy_escapes))
+        suffix, legacy = None, self.options.legacy_escapes
         if t.language:
             suffix = F.lit(terms.language_suffix(t.language)) if t.kind == "reference" else None
         elif t.language_map:
             suffix = terms.language_column(self.value(source, t.language_map).reference)
         if t.kind == "template":
-            return terms.object_template(self.template(source, t.value), t.term_type, t.datatype, suffix)
-        return terms.object_reference(self.value(source, t.value).reference, t.term_type, t.datatype, suffix)
+            return terms.object_template(self.template(source, t.value), t.term_type, t.datatype, suffix, legacy)
+        value = self.value(source, t.value)
+        return terms.object_reference(value.reference if legacy else value.plain, t.term_type, t.datatype, suffix, legacy)
 
     def graph(self, text: str, source: LogicalSource) -> Column:
         return terms.iri(self.template(source, text))
@@ -194,7 +198,7 @@ class Compiler:
         for s in subjects:
             here: list[Column] = []
             if plain and m.classes:
-                here.append(F.array(*[_statement(s.value, F.lit(TYPE), F.lit(f"<{c}>"), g) for c in m.classes for g in graphs]))
+                here.append(F.array(*[_statement(s.value, F.lit(f"<{RDF}type>"), F.lit(f"<{c}>"), g) for c in m.classes for g in graphs]))
             for pom in m.poms:
                 p = self.predicate(pom.predicate, m.source)
                 # a map's own graphs hold all its statements; a predicate's graph holds one more

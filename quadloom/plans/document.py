@@ -8,8 +8,10 @@ from .model import LogicalSource, Mapping, PredicateObjectMap, TermMap, TriplesM
 from .turtle import RDF, Graph, read_turtle
 
 RML = "http://w3id.org/rml/"
+#: The properties of a database and the options that they stand for.
+DATABASE = {"http://www.wiwiss.fu-berlin.de/suhl/bizer/D2RQ/0.1#" + k: v for k, v in (("jdbcDSN", "url"), ("jdbcDriver", "driver"), ("username", "user"), ("password", "password"))}
 #: Names of reference formulations and the formats that they read.
-FORMATS = {"csv": "csv", "tsv": "tsv", "jsonpath": "json", "json": "json", "xpath": "xml", "xml": "xml", "sql2008table": "jdbc", "sql2008query": "jdbc", "parquet": "parquet", "table": "table"}
+FORMATS = {"csv": "csv", "tsv": "tsv", "jsonpath": "json", "json": "json", "jsonl": "jsonl", "xpath": "xml", "xml": "xml", "sql2008table": "jdbc", "sql2008query": "jdbc", "parquet": "parquet", "table": "table"}
 
 
 def _r(*names: str) -> tuple[str, ...]:
@@ -20,10 +22,13 @@ def _source(g: Graph, node: str) -> LogicalSource:
     name = g.one(node, *_r("source")) or ""
     formulation = (g.one(node, *_r("referenceFormulation")) or "CSV").replace("#", "/").rsplit("/", 1)[-1].lower()
     kind = FORMATS.get(formulation, formulation)
+    connection = tuple((option, str(value)) for p, option in DATABASE.items() if (value := g.one(name, p)) is not None)
+    if connection:
+        return LogicalSource(str(name), "jdbc", None, g.one(node, *_r("tableName")), g.one(node, *_r("query")), connection=connection)
     name = name.removeprefix("file://")
     if kind == "csv" and name and ".csv" not in name and "." in name:
         kind = "tsv"  # files of other names hold tabs
-    return LogicalSource(name, kind, g.one(node, *_r("iterator")), g.one(node, *_r("tableName")), g.one(node, *_r("query")))
+    return LogicalSource(name, kind, g.one(node, *_r("iterator")), g.one(node, *_r("tableName")), g.one(node, *_r("query")), encoding=g.one(node, *_r("encoding")))
 
 
 def _joins(g: Graph, node: str) -> tuple[tuple[str, str], ...]:

@@ -16,6 +16,10 @@ class LogicalSource:
     query: str | None = None
     delimiter: str | None = None
     encoding: str | None = None
+    #: options of a database, as pairs
+    connection: tuple[tuple[str, str], ...] = ()
+    #: what a reader is asked for: the attributes that the mapping mentions
+    columns: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,7 @@ from pyspark.sql import functions as F
 from .functions import terms
 from .operators.compiler import Compiler, Options
 from .plans.model import LogicalSource, Mapping, TermMap, TriplesMap, constant, parent, quoted, reference, template
-from .plans.planner import plan
-from .sources import readers, sinks
+from .sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +44,8 @@ DERIVED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "lineitem_text": ("lineitem", lambda d: d.withColumn("price", money("l_extendedprice")).withColumn("padded", F.concat(F.lit("00"), money("l_quantity")))),
     "events_nulls": ("events", lambda d: d.withColumn("kind", F.when(F.col("event_type") == "error", "N/A").when(F.col("event_type") == "click", " | ").when(F.col("event_type") == "view", "nan").otherwise(F.col("event_type"))).withColumn("who", F.when(F.col("user_id") % 7 != 0, F.col("user_id")))),
     "lineitem_view": ("lineitem", lambda d: d.select(F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"))),
+    "lineitem_doubles": ("lineitem", lambda d: d.withColumns({f"x{k}": x for k, x in enumerate((F.col("l_extendedprice"), F.col("l_extendedprice") * 1e-12, F.col("l_extendedprice") / 7, F.col("l_extendedprice") * 1e9, F.col("l_extendedprice") * 1e14, F.col("l_extendedprice") / 1e9))})),
+    "orders_nested": ("orders", lambda d: d.withColumn("inner", F.struct(F.col("o_custkey").alias("customer"))).withColumn("a.b", F.col("o_orderpriority")).withColumn("parts", F.array(*[F.struct(f.alias("f"), g.cast("string").alias("g")) for f, g in ((F.lit("F"), F.col("o_orderkey")), (F.lit("x"), F.col("o_custkey")), (F.col("o_orderstatus"), F.col("o_orderpriority")))]))),
     "few_customers": ("customer", lambda d: d.where(F.col("c_mktsegment") == "BUILDING")),
 }
 
@@ -139,6 +139,15 @@ dec = "regexp_replace(regexp_replace('00' || CAST(CAST(l_quantity AS DECIMAL(18,
 add("decimal_normalise", tm("l", "lineitem_text", LINE, (p("size"), template("q {padded}", term_type="Literal")), (p("price"), reference("padded"))), sql=rows("lineitem", (s_line, P["size"], f"'\"q ' || {dec} || '\"'"), (s_line, P["price"], "'\"00' || CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) || '\"'")))
 add("multi_placeholder_template", tm("l", "lineitem", LINE, (p("note"), template("{l_returnflag}{l_linestatus}-{l_suppkey}", term_type="Literal", datatype="http://ex/code"))), sql=rows("lineitem", (s_line, P["note"], "'\"' || l_returnflag || l_linestatus || '-' || l_suppkey || '\"^^<http://ex/code>'")))
 
+doubles = [f"l_extendedprice{x}" for x in ("", " * 1e-12", " / 7", " * 1e9", " * 1e14", " / 1e9")]
+add("double_reference", tm("l", "lineitem_doubles", LINE, *[(p("price"), template(f"{k} {{x{k}}}", term_type="Literal")) for k in range(len(doubles))], (p("size"), reference("x2"))), sql=rows("lineitem", *[(s_line, P["price"], f"'\"{k} ' || CAST({x} AS VARCHAR) || '\"'") for k, x in enumerate(doubles)], (s_line, P["size"], f"'\"' || CAST({doubles[2]} AS VARCHAR) || '\"'")))
+add("nested_path", tm("o", "orders_nested", ORDER, (p("by"), reference("inner.customer")), (p("kind"), reference("a.b"))), sql=rows("orders", (s_order, P["by"], "'\"' || o_custkey || '\"'"), (s_order, P["kind"], lit("o_orderpriority"))))
+add("array_filter", tm("o", "orders_nested", ORDER, (p("seen"), reference("parts[?(@.f==F)].g")), (p("told"), reference("parts[?(@.f!='F')].g"))), sql=rows("orders", (s_order, P["seen"], "'\"' || CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE CAST(o_orderkey AS VARCHAR) END || '\"'"), (s_order, P["told"], "'\"' || CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority ELSE CAST(o_custkey AS VARCHAR) END || '\"'")))
+add("subject_types", tm("a", "nation", template("n-{n_nationkey}", term_type="Literal"), (p("name"), reference("n_name"))), tm("b", "nation", template("o-{n_nationkey}", term_type="Other"), (p("name"), reference("n_name"))), tm("c", "nation", reference("n_nationkey", term_type="BlankNode"), (p("name"), reference("n_name"))), sql=rows("nation", ("'<o-' || n_nationkey || '>'", P["name"], lit("n_name")), ("'_:' || n_nationkey", P["name"], lit("n_name"))))
+add("template_escapes", tm("n", "nation", NATION, (p("note"), template("\\{x\\}-{n_nationkey}\\{", term_type="Literal"))), sql=rows("nation", (s_nation, P["note"], "'\"{x}-' || n_nationkey || '{\"'")))
+ntriples = r"""replace(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\', '\\'), '"', '\"'), chr(10), '\n')"""
+add("valid_literals", tm("c", "conversations", template(f"{EX}turn/{{conv_id}}/{{turn}}"), (p("says"), reference("text"))), legacy_escapes=False, sql=rows("conversations", (f"'<{EX}turn/' || conv_id || '/' || turn || '>'", P["says"], f"""'"' || {ntriples} || '"'""")))
+
 QUAD = "SELECT DISTINCT {} AS subject, {} AS predicate, {} AS object, {} AS graph FROM {}"
 add("graph_constant", tm("o", "orders", ORDER, (p("by"), template(f"{EX}customer/{{o_custkey}}")), classes=(p("Order"),), graphs=(p("g"),)), graph=True, sql=" UNION ".join([QUAD.format(s_order, P["by"], iri(f"{EX}customer/", "o_custkey"), f"'<{EX}g>'", "orders"), QUAD.format(s_order, *cls("Order"), f"'<{EX}g>'", "orders")]))
 add("graph_template", tm("c", "customer", CUST, (p("name"), reference("c_name")), graphs=(f"{EX}g/{{c_mktsegment}}",)), graph=True, sql=QUAD.format(s_cust, P["name"], lit("c_name"), iri(f"{EX}g/", enc("c_mktsegment")), "customer"))
@@ -213,70 +222,21 @@ def base36_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", terms.base36(F.col("n_nationkey")).alias("id"))
 
 
-@query("SELECT n_nationkey, n_name || '_' || n_regionkey AS key, CAST(n_nationkey = n_regionkey AS INT) + 1 AS same, regexp_replace(n_name, '[^A-Za-z0-9_()-]', '', 'g') AS cleaned, 'nation' AS stem FROM nation")
+@query("""SELECT n_nationkey, n_name || '_' || n_regionkey AS key, CAST(n_nationkey = n_regionkey AS INT) + 1 AS same,
+    CASE WHEN n_nationkey % 3 = 0 THEN 'http://x/' || n_name || ' (1)' ELSE regexp_replace(n_name, '[^A-Za-z0-9_()-]', '', 'g') || '-b-c(1)' END AS cleaned,
+    CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'a' END AS stem, n_nationkey || '/' || n_name AS whole, 'n_name_n_nationkey' AS key_name, n_nationkey % 2 = 0 AS held, 3 AS braces FROM nation""")
 def helper_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     same = terms.equal_fields({"a": F.col("n_nationkey"), "b": F.col("n_name")}, {"a": F.col("n_regionkey"), "b": F.col("n_name")})
-    return n.select("n_nationkey", terms.composite_key(F.col("n_name"), F.col("n_regionkey").cast("string")).alias("key"), same.alias("same"), terms.clean_suffix(F.col("n_name")).alias("cleaned"), terms.file_stem(F.lit("/data/nation.csv")).alias("stem"))
-
-
-def _planned() -> Mapping:
-    return Mapping((tm("a", "customer", CUST, (p("name"), reference("c_name")), asserted=False), tm("b", "customer", quoted("a"), (p("note"), constant("x")), asserted=False), tm("c", "orders", quoted("b", ("o_custkey", "c_custkey")), (p("from"), ORDER)), tm("d", "nation", NATION, (p("sees"), quoted("b", ("n_nationkey", "c_custkey"))))))
-
-
-@query("SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2), ('d', 2)) t(id, level)")
-def planner_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m, k) for k, level in enumerate(plan(_planned()).levels) for m in level], "id string, level int")
-
-
-@query("SELECT * FROM (VALUES ('a', 'quoted_support', 'row', 'low', 1, 2), ('b', 'mixed', 'join', 'high', 2, 2), ('c', 'quoted_consumer', 'none', 'none', 0, 2), ('d', 'quoted_consumer', 'none', 'none', 0, 2)) t(id, role, cache, reuse, uses, last_level)")
-def planner_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m.id, m.role, m.cache, m.reuse, m.uses, m.last_level) for m in plan(_planned()).maps.values()], "id string, role string, cache string, reuse string, uses int, last_level int")
-
-
-def _folder(spark: SparkSession) -> str:
-    """A folder for files of a query: the cluster's shared one, or a temporary one of this machine where none is named."""
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="quadloom-")
-
-
-NATION_TEXT = rows("nation", (s_nation, P["name"], lit("n_name")))
-
-
-def _nation_from(spark: SparkSession, logical: LogicalSource) -> DataFrame:
-    m = TriplesMap("n", logical, NATION).pom(p("name"), reference("n_name"))
-    return Compiler(Mapping((m,)), readers.reader(spark)).graph_of().drop("graph")
-
-
-@query(NATION_TEXT)
-def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_folder(spark)}/nation.csv"
-    table(spark, sf_dir, "nation").write.option("header", True).csv(path)
-    return _nation_from(spark, LogicalSource(path, "csv"))
-
-
-@query(NATION_TEXT)
-def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_folder(spark)}/nation.tsv"
-    table(spark, sf_dir, "nation").write.option("header", True).option("sep", "\t").csv(path)
-    return _nation_from(spark, LogicalSource(path, "tsv"))
-
-
-@query(NATION_TEXT)
-def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_folder(spark)}/nation.json"
-    whole = table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))).alias("value"))
-    whole.write.text(path)
-    return _nation_from(spark, LogicalSource(path, "json", "$.nations[*]"))
-
-
-@query(NATION_TEXT)
-def xml_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_folder(spark)}/nation.xml"
-    table(spark, sf_dir, "nation").write.format("xml").option("rowTag", "nation").option("rootTag", "nations").save(path)
-    return _nation_from(spark, LogicalSource(path, "xml", "/nations/nation"))
+    third = F.col("n_nationkey") % 3 == 0
+    address = F.when(third, F.concat(F.lit("http://x/"), "n_name", F.lit(" (1)"))).otherwise(F.concat("n_name", F.lit("/b\\c (1)!")))
+    path = F.when(third, F.concat(F.lit("/data/"), "n_name", F.lit(".tar.csv"))).otherwise(F.concat(F.lit("/d.x/a."), "n_name"))
+    row = terms.row_map(["n_nationkey", "n_name"])
+    held = F.when(F.col("n_nationkey") % 2 == 0, terms.has_columns(["n_name"], n.columns)).otherwise(terms.has_columns(["n_name", "other"], n.columns))
+    return n.select(
+        "n_nationkey", terms.composite_key(F.col("n_name"), F.col("n_regionkey").cast("string")).alias("key"), same.alias("same"), terms.clean_suffix(address).alias("cleaned"), terms.file_stem(path).alias("stem"),
+        F.concat(row["n_nationkey"], F.lit("/"), row["n_name"]).alias("whole"), F.lit(terms.key_name(["n_name", "name", "n_nationkey", "n_nat"])).alias("key_name"), held.alias("held"), F.lit(terms.brace_count("{a}-{b}\\{c\\}")).alias("braces"),
+    )
 
 
 def flagship_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """The Turtle reader, mapping documents, and the planner."""
 
 import json
+import time
 
 import pytest
 
 from quadloom.plans.document import parse_mapping
 from quadloom.plans.model import LogicalSource, Mapping, TriplesMap, constant, quoted, reference, template
-from quadloom.plans.planner import aliases, order_sources, plan, reuse_strength
+from quadloom.plans.planner import GENERAL, aliases, order_sources, plan, predicate_counts, reuse_strength, statement_shape
 from quadloom.plans.turtle import TurtleError, read_turtle
 
 DOC = r"""
@@ -53,9 +54,9 @@ def maps():
 def test_plan(tmp_path):
     made = plan(maps())
     assert made.levels == [["a", "w"], ["b"], ["d"]] and made.order == ["a", "w", "b", "d"]
-    assert {k: v.role for k, v in made.maps.items()} == {"a": "quoted_support", "b": "mixed", "d": "quoted_consumer", "w": "asserted_base"}
+    assert {k: v.role for k, v in made.maps.items()} == {"a": "quoted_support", "b": "quoted_consumer", "d": "quoted_consumer", "w": "asserted_base"}
     assert {k: v.last_level for k, v in made.maps.items()} == {"a": 2, "b": 2, "d": 2, "w": 0}
-    assert (made.maps["a"].cache, made.maps["b"].cache, made.maps["w"].cache) == ("row", "join", "none") and made.maps["b"].signatures == [("i",)]
+    assert (made.maps["a"].cache, made.maps["b"].cache, made.maps["w"].cache) == ("row", "join", "none") and made.maps["b"].signatures == [("k",)]
     assert aliases(maps()) == {"a": ("w", 0)} and made.batches() == [("c", ["w", "b"]), ("o", ["d"])]
     assert "3 levels" in made.summary() and "a is statement 0 of w" in made.summary()
     made.write(str(tmp_path / "plan.json"))
@@ -64,7 +65,34 @@ def test_plan(tmp_path):
 
 
 def test_reuse_strength():
-    assert [reuse_strength(*x) for x in (("none", 0, 0, 0), ("row", 3, 0, 0), ("join", 2, 2, 1), ("join", 2, 2, 2), ("join", 3, 1, 1), ("join", 2, 1, 1), ("join", 4, 3, 3))] == ["none", "low", "high", "medium", "medium", "low", "low"]
+    assert [reuse_strength(*x) for x in (("none", 0, 0, 0), ("row", 3, 0, 0), ("join", 2, 2, 1), ("join", 2, 2, 2), ("join", 3, 1, 1), ("join", 2, 1, 1), ("join", 4, 3, 3))] == ["none", "none", "high", "medium", "medium", "low", "low"]
+
+
+def test_long_chains_are_planned_fast():
+    c, began = LogicalSource("c"), time.perf_counter()
+    chain = [TriplesMap("m0", c, template("{i}")).pom("n", reference("n"))] + [TriplesMap(f"m{k}", c, quoted(f"m{k - 1}")).pom("n", quoted(f"m{max(0, k - 2)}")) for k in range(1, 60)]
+    made = plan(Mapping(tuple(chain)))
+    assert made.maps["m0"].last_level == 59 and time.perf_counter() - began < 5
+
+
+def test_shapes_tell_tables_and_conditions_apart():
+    one = lambda table, value="n": TriplesMap("x", LogicalSource("db", "jdbc", table=table), template("{i}")).pom("n", reference(value))
+    shape = lambda m: statement_shape(m, m.poms[0])
+    assert shape(one("t")) == shape(one("t")) != shape(one("u")) and shape(one("t", "n[a=1]")) != shape(one("t"))
+
+
+def test_alias_groups_and_counts():
+    made = plan(maps())
+    assert made.alias_groups() == {("w", 0): (["a"], 2)}
+    m = Mapping((TriplesMap("m", LogicalSource("c"), template("{i}"), classes=("C",)).pom("n", reference("n")).pom(GENERAL[1], template("{x}")).pom(GENERAL[1], template("{x}")),))
+    assert predicate_counts(m) == {"n": 1, f"{GENERAL[1]}_{{x}}": 2, "http://www.w3.org/1999/02/22-rdf-syntax-ns#type_<C>": 1}
+
+
+def test_database_in_a_document():
+    m = parse_mapping('''@prefix r: <http://w3id.org/rml/> . @prefix d: <http://www.wiwiss.fu-berlin.de/suhl/bizer/D2RQ/0.1#> . @base <http://b/> .
+    <db> a d:Database ; d:jdbcDSN "jdbc:x:y" ; d:jdbcDriver "x.Driver" ; d:username "u" ; d:password "p" .
+    <m> r:logicalSource [ r:source <db> ; r:tableName "t" ] ; r:subjectMap [ r:template "{i}" ] .''')
+    assert m.maps[0].source == LogicalSource("http://b/db", "jdbc", table="t", connection=(("url", "jdbc:x:y"), ("driver", "x.Driver"), ("user", "u"), ("password", "p")))
 
 
 def test_levels_grow():

@@ -4,6 +4,8 @@ from quadloom.operators.compiler import Compiler
 from quadloom.plans.model import LogicalSource, Mapping, TriplesMap, reference, template
 from quadloom.sources import config, readers, sinks
 
+TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
+
 
 def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('﻿"id", name \n1,"two\nlines"\n2,"say ""x"""\n2,"say ""x"""\n'.encode())
@@ -13,6 +15,8 @@ def test_delimited(spark, tmp_path):
     assert readers.read_delimited(spark, str(tmp_path / "a.csv"), distinct=True).count() == 2
     read = readers.reader(spark, str(tmp_path))
     assert read(LogicalSource("b.tsv", "tsv", encoding="ISO-8859-1")).first().name == "café"
+    assert read(LogicalSource("b.tsv", "tsv")).first().name == "café"
+    assert readers.probe_text(spark, str(tmp_path / "a.csv")) == ("UTF-8", True) and readers.probe_text(spark, str(tmp_path / "b.tsv")) == ("ISO-8859-1", False)
     assert [readers.normal_header(x) for x in ("﻿id", " 'a' ", '"b"', "c")] == ["id", "a", "b", "c"]
 
 
@@ -34,9 +38,28 @@ def test_projection():
     assert readers.sql_projection(LogicalSource("db", "jdbc", query="SELECT 1"), ["a"]) == "SELECT 1"
 
 
+def test_jdbc(spark):
+    url = "jdbc:derby:memory:quadloom_test;create=true"
+    rows = spark.createDataFrame([(k, f"name {k % 3}", k % 2) for k in range(20)], "id int, name string, other int")
+    rows.write.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver", createTableColumnTypes="name VARCHAR(40)").mode("overwrite").save()
+    source = LogicalSource("db", "jdbc", table="T", connection=(("url", url), ("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver")))
+    m = TriplesMap("m", source, template("http://x/{name}")).pom("p", reference("other"))
+    made = Compiler(Mapping((m,)), readers.reader(spark))
+    assert made.source(source).count() == 6 and made.graph_of().count() == 6
+    parted = readers.reader(spark, connection={"partitionColumn": "id", "lowerBound": "0", "upperBound": "20", "numPartitions": "4"})
+    assert Compiler(Mapping((m,)), parted).source(source).rdd.getNumPartitions() == 4 and Compiler(Mapping((m,)), parted).graph_of().count() == 6
+
+
+def test_single_file(spark, tmp_path):
+    for n in (3, 0):
+        rows = spark.range(n).selectExpr("'<s>' subject", "'<p>' predicate", "concat('\"', id, '\"') object", "cast(null as string) graph").repartition(3)
+        path = sinks.write_statements(rows, str(tmp_path), "g", single=True)
+        assert sorted(open(path).read().splitlines()) == [f'<s> <p> "{k}".' for k in range(n)] and [f.name for f in tmp_path.iterdir() if "crc" not in f.name] == ["g.nt"]
+
+
 def test_lines(spark):
-    rows = spark.createDataFrame([("<s>", "<p>", '"o"', None), ("<s>", "<p>", '"o"', "<g>"), ("<s>", sinks.TYPE, "<C>", "<g>")], "subject string, predicate string, object string, graph string")
-    assert [r.value for r in sinks.to_lines(rows).collect()] == ['<s> <p> "o".', '<s> <p> "o" <g>.', f"<s> {sinks.TYPE} <C> <g> ."]
+    rows = spark.createDataFrame([("<s>", "<p>", '"o"', None), ("<s>", "<p>", '"o"', "<g>"), ("<s>", TYPE, "<C>", "<g>")], "subject string, predicate string, object string, graph string")
+    assert [r.value for r in sinks.to_lines(rows).collect()] == ['<s> <p> "o".', '<s> <p> "o" <g>.', f"<s> {TYPE} <C> <g> ."]
 
 
 MAPPING = """@prefix r: <http://w3id.org/rml/> . <{n}> r:logicalSource [ r:source "t.csv" ] ; r:subjectMap [ r:template "http://x/{{id}}" ] ; r:predicateObjectMap [ r:predicate <http://p> ; r:objectMap [ r:reference "v" ] ] ."""

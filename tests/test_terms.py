@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms
-from quadloom.operators.compiler import Compiler
+from quadloom.operators.compiler import Compiler, Options
 from quadloom.plans.model import LogicalSource, Mapping, TriplesMap, constant, reference, template
 
 SRC = LogicalSource("t", "table")
@@ -92,21 +92,47 @@ def test_encode_any_text(spark, texts):
 
 
 @settings(max_examples=10, deadline=None)
-@given(st.lists(st.from_regex(r"\A-?[0-9]{1,9}\.[0-9]{1,6}\Z"), min_size=20, max_size=40))
+@given(st.lists(st.from_regex(r"\A-?[0-9]{1,25}\.[0-9]{1,25}\Z"), min_size=20, max_size=40))
 def test_decimals_as_floats(spark, texts):
-    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = spark.createDataFrame([(t,) for t in [*texts, "0.0", "-0.00", "00.00012", "0.000012", "123456789012345678.5", "0.1234567890123456789", "12.", ".5", "1.2.3"]], "t string")
     for r in rows.select("t", terms.normal_decimal(F.col("t")).alias("d")).collect():
-        if float(r.t) == 0 or abs(float(r.t)) >= 1e-4:
-            assert r.d == repr(float(r.t))
+        assert r.d == (repr(float(r.t)) if r.t.count(".") == 1 and r.t.strip("-")[0] != "." and r.t[-1] != "." else r.t)
+
+
+EXTREMES = [0.0, -0.0, 1.0, 0.1, 1e-12, 0.1234567890123, 1e21, 1e22, 1e23, 1e16, 9999999999999998.0, 1e15, 12345678.9, 1e7, 9.999e6, 1e-3, 9.99e-4, 1e-4, 9.99e-5, 5e-324, 1.5e-310, 2.2250738585072014e-308, 1.7976931348623157e308, 2.0**-44, 2.0e-3, 2.0**70, 1 / 3, 8.41e21, 4.35e17, 10024.04 * 1e14, 1.0024040000000001e18]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=20, max_size=40))
+def test_doubles_as_text(spark, numbers):
+    rows = spark.createDataFrame([(x,) for n in [*numbers, *EXTREMES] for x in (n, -n)], "x double")
+    for r in rows.select("x", terms.float_text(F.col("x")).alias("t")).collect():
+        assert r.t == repr(r.x)
+
+
+def test_special_doubles(spark):
+    rows = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "x double")
+    assert [r.t for r in rows.select(terms.float_text(F.col("x")).alias("t")).collect()] == ["inf", "-inf", None, None]
+    narrow = spark.createDataFrame([(0.1,), (1e10,), (1e-7,)], "x float")
+    assert [r.t for r in narrow.select(terms.float_text(F.col("x")).alias("t")).collect()] == ["0.1", "10000000000.0", "1e-07"]
+
+
+def test_valid_literals(spark):
+    rows = spark.createDataFrame([("1", 'He said "it\'s"\n a\\b\r ')], "i string, v string")
+    m = TriplesMap("m", SRC, template("{i}")).pom("p", reference("v")).pom("q", template("x {v}", term_type="Literal")).pom("r", constant('a"b'))
+    out = {r.predicate: r.object for r in Compiler(Mapping((m,)), lambda s: rows, Options(legacy_escapes=False)).graph_of().collect()}
+    assert out == {"<p>": '"He said \\"it\'s\\"\\n a\\\\b"', "<q>": '"x He said \\"it\'s\\"\\n a\\\\b"', "<r>": '"a\\"b"'}
 
 
 def test_small_functions(spark):
-    row = spark.range(1).select(
-        terms.base36(F.lit(46655)).alias("n"), terms.composite_key(F.lit("a"), F.lit(None).cast("string"), F.lit("b")).alias("k"), terms.file_stem(F.lit("/x/y.tar.csv")).alias("f"), terms.clean_suffix(F.lit("a b/c(1)?é")).alias("c"),
-        terms.equal_fields({"a": F.lit(1), "b": F.lit(2)}, {"a": F.lit(1), "b": F.lit(3), "c": F.lit(0)}).alias("e"),
+    row = spark.createDataFrame([("x", 1)], "a string, b int").select(
+        terms.base36(F.lit(46655)).alias("n"), terms.composite_key(F.lit("a"), F.lit(None).cast("string"), F.lit("b")).alias("k"), terms.clean_suffix(F.lit("a b/c\\(1)?é")).alias("c"), terms.clean_suffix(F.lit("http://x/y z")).alias("u"),
+        F.array(*[terms.file_stem(F.lit(x)) for x in ("/x/y.tar.csv", "/d/a.b.csv", "name", "a.b", "/x/.h")]).alias("f"),
+        terms.equal_fields({"a": F.lit(1), "b": F.lit(2)}, {"a": F.lit(1), "b": F.lit(3), "c": F.lit(0)}).alias("e"), terms.row_map(["a", "b"]).alias("m"),
     ).first()
-    assert (row.n, row.k, row.f, row.c, row.e) == ("ZZZ", "a_b", "y.tar", "ab-c(1)é", 1)
-    assert terms.placeholder_count("{a}-{b}\\{c\\}") == 2
+    assert (row.n, row.k, row.f, row.c, row.u, row.e, row.m) == ("ZZZ", "a_b", ["y", "a", "name", "a", ""], "ab-c-(1)é", "http://x/y z", 1, {"a": "x", "b": "1"})
+    assert terms.placeholder_count("{a}-{b}\\{c\\}") == 2 and terms.brace_count("{a}-{b}\\{c\\}") == 3
+    assert terms.key_name(["id", "i", "name", "am", "x"]) == "id_name_x" and terms.has_columns(["a"], ["b", "a"]) and not terms.has_columns(["a", "c"], ["a"])
 
 
 def test_nested_values(spark):
