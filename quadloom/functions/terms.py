@@ -47,43 +47,44 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _positional(text: Column) -> Column:
     """Digits of a number's text (with or without an exponent) as a repr shows them: an exponent below 1e-4 and from 1e16 on."""
-    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
-    whole, fraction = F.regexp_extract(text, r"^-?([0-9]+)", 1), F.regexp_extract(text, r"\.([0-9]+)", 1)
-    power = F.coalesce(F.nullif(F.regexp_extract(text, r"[eE]\+?(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
-    led = F.ltrim(F.concat(whole, fraction), F.lit("0"))
-    point = F.length(whole) + power - (F.length(whole) + F.length(fraction) - F.length(led))
-    parts = F.struct(sign.alias("sign"), F.rtrim(led, F.lit("0")).alias("digits"), point.alias("point"))
-
-    def shown(x: Column) -> Column:
+
+    def split(t: Column) -> Column:
+        power = F.coalesce(F.nullif(F.regexp_extract(t, r"[eE]\+?(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+        return F.struct(F.startswith(t, F.lit("-")).alias("minus"), F.regexp_extract(t, r"^-?([0-9]+)", 1).alias("whole"), F.regexp_extract(t, r"\.([0-9]+)", 1).alias("fraction"), power.alias("power"))
+
+    def place(x: Column) -> Column:
+        led = F.ltrim(F.concat(x["whole"], x["fraction"]), F.lit("0"))
+        return F.struct(x["minus"].alias("minus"), F.rtrim(led, F.lit("0")).alias("digits"), (x["power"] - F.length(x["fraction"]) + F.length(led)).alias("point"))
+
+    def show(x: Column) -> Column:
         digits, at, n = x["digits"], x["point"], F.length(x["digits"])
-        rest = F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
-        power = F.abs(at - 1).cast("string")
-        exponent = F.concat(F.when(at > 0, "e+").otherwise("e-"), F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")))
-        body = (
-            F.when(n == 0, "0.0")
-            .when((at < -3) | (at > 16), F.concat(F.substr(digits, F.lit(1), F.lit(1)), rest, exponent))
-            .when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
-            .when(at >= n, F.concat(digits, F.repeat(F.lit("0"), at - n), F.lit(".0")))
-            .otherwise(F.concat(F.substr(digits, F.lit(1), at), F.lit("."), F.substr(digits, at + 1)))
-        )
-        return F.concat(x["sign"], body)
-
-    return _with(parts, shown)
-
-
-def _shortest(number: Column, text: Column) -> Column:
-    """The shortest digits that read as a double again; the JVM's own text may have more than it takes."""
-    digits = F.length(F.regexp_replace(text, "[eE].*|[^0-9]", ""))
-    tries = lambda *places: [F.when(F.format_string(f"%.{n}e", number).cast("double") == number, F.format_string(f"%.{n}e", number)) for n in places]
-    tiny = (F.abs(number) < 2.3e-308) & (number != 0)  # of these even few digits may be too many
-    return F.when(tiny, F.coalesce(*tries(*range(17)), text)).when(digits > 15, F.coalesce(*tries(14, 15, 16), text)).otherwise(text)
-
-
-def float_text(number: Column) -> Column:
+        exponent = F.format_string("%s%se%+03d", F.substr(digits, F.lit(1), F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), at - 1)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits)
+        padded = F.rpad(digits, F.greatest(n, at + 1), F.lit("0"))
+        body = F.when(n == 0, "0.0").when((at < -3) | (at > 16), exponent).when(at <= 0, small).otherwise(F.concat(F.substr(padded, F.lit(1), at), F.lit("."), F.substr(padded, at + 1)))
+        return F.concat(F.when(x["minus"], "-").otherwise(""), body)
+
+    return _with(_with(_with(text, split), place), show)
+
+
+def _shortest(number: Column, text: Column, tiny: bool) -> Column:
+    """The shortest digits that read as a double again; the JVM's own text may have more than it takes. ``tiny``: for numbers without a leading bit as well."""
+
+    def first(places: range) -> Column:
+        made = F.array(*[F.format_string(f"%.{n}e", number) for n in places])
+        return F.coalesce(F.get(F.filter(made, lambda t: t.cast("double") == number), F.lit(0)), text)
+
+    # the digits, a sign, a point and what belongs to the exponent
+    long = F.when(F.length(text) - F.length(F.regexp_extract(text, "E.*", 0)) > 16, first(range(14, 17))).otherwise(text)
+    return F.when((F.abs(number) < 2.3e-308) & (number != 0), first(range(17))).otherwise(long) if tiny else long
+
+
+def float_text(number: Column, tiny: bool = True) -> Column:
     """A double or float as the text of its shortest digits: ``0.1``, ``1e-12``, ``1e+16``, ``inf``; not a number is null."""
     text = number.cast("string")
     special = F.when(F.isnan(number), F.lit(None).cast("string")).when(F.contains(text, F.lit("Inf")), F.replace(F.lower(text), F.lit("inity"), F.lit("")))
-    return F.when(~text.rlike("[EIN]") & (F.length(text) <= 16), text).otherwise(special.otherwise(_positional(_shortest(number.cast("double"), text))))
+    hard = _with(F.struct(number.cast("double").alias("n"), text.alias("t")), lambda v: _positional(_shortest(v["n"], v["t"], tiny)))
+    return F.when(~text.rlike("[EIN]") & (F.length(text) <= 16), text).otherwise(special.otherwise(hard))
 
 
 def normal_decimal(value: Column) -> Column:
@@ -91,7 +92,7 @@ def normal_decimal(value: Column) -> Column:
     bare = F.ltrim(F.rtrim(F.ltrim(value, F.lit("-")), F.lit("0")), F.lit("0"))
     shorter = F.concat(F.when(F.startswith(value, F.lit("-")), "-").otherwise(""), F.when(F.startswith(bare, F.lit(".")), "0").otherwise(""), bare, F.when(F.endswith(bare, F.lit(".")), "0").otherwise(""))
     plain = (F.length(value) <= 16) & value.rlike(_PLAIN)
-    return F.when(~F.contains(value, F.lit(".")), value).when(plain, shorter).when(value.rlike(_DECIMAL), float_text(value.try_cast("double"))).otherwise(value)
+    return F.when(~F.contains(value, F.lit(".")), value).when(plain, shorter).when(value.rlike(_DECIMAL), float_text(value.try_cast("double"), False)).otherwise(value)
 
 
 def template_parts(template: str) -> list[tuple[str, bool]]:

@@ -124,10 +124,10 @@ class Compiler:
             steps: dict[str, dict[str, Column]] = {form: {} for form, _ in terms.FORMS}
             for at, name in enumerate(names):
                 column, made = field_of(raw, name), {}
-                integral = name in raw.columns and isinstance(raw.schema[name].dataType, T.IntegralType)
+                numeric = name in raw.columns and isinstance(raw.schema[name].dataType, T.IntegralType | T.DoubleType | T.FloatType)
                 for form, make in terms.FORMS:
                     title = f"__{form}_{at}"
-                    if integral:  # digits are the same in every form
+                    if numeric and (form != "encoded" or isinstance(raw.schema[name].dataType, T.IntegralType)):  # digits are the same in every form, but for the sign of an exponent
                         title = f"__key_{at}"
                         steps["key"][title] = column
                     else:
