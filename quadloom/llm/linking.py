@@ -61,31 +61,43 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def near_apart(live: DataFrame, payloads: DataFrame, near: Callable[[object, list], list[bool]]) -> DataFrame:
     """Links ``a, b`` between members of different classes of a bucket; ``live``: bucket, node, indexed, comp; ``payloads``: node, payload.
 
-    Members outside a bucket's largest class are compared with all members of other classes, in chunks, inside the
-    worker, which returns one link at most between a member and a class of a chunk.
+    Members outside a bucket's largest class are compared with all members of other classes, in the worker. Members are
+    dealt into blocks of about CHUNK, and a row holds two blocks: a payload is sent once for each block that it meets, not
+    once for each member. Pairs of blocks are dealt by their numbers, so the work of a large bucket is spread. Of each two
+    classes that meet in a row one link comes back, if there is any.
     """
     sizes = live.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("n"))
-    open_ = cut(live.join(main.select("bucket", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.k")).alias("others")), "bucket").join(payloads, "node"))
-    chunk = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("others") / CHUNK)))
-    rest = open_.where("comp <> main").select("bucket", chunk.alias("chunk"), F.struct("node", "comp", "indexed", "payload").alias("m"))
-    rest = rest.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("ms"))
-    met = open_.select("bucket", "node", "comp", "indexed", "payload", "main").join(rest, "bucket").select("node", "comp", "indexed", "payload", "main", "ms")
+    blocks = lambda n: F.greatest(F.lit(1).cast("long"), F.ceil(n / CHUNK))
+    main = main.select("bucket", F.col("top.comp").alias("main"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("top.k")).alias("others"))
+    open_ = cut(live.join(main, "bucket").join(payloads, "node"))
+    member = F.struct("node", "comp", "indexed", "payload")
+
+    def dealt(members: DataFrame, of: str, own: str, met: str, to: str, name: str) -> DataFrame:
+        """The blocks of ``members``, numbered ``own`` below ``of``, one copy of each for each of the ``to`` blocks that it meets."""
+        held = members.groupBy("bucket", "main", "all", "others", F.pmod(F.xxhash64("node"), F.col(of)).alias(own)).agg(F.collect_list(member).alias(name))
+        return held.withColumn(met, F.explode(F.sequence(F.lit(0).cast("long"), F.col(to) - 1)))
+
+    left = dealt(open_, "all", "i", "j", "others", "xs").select("bucket", "i", "j", "main", "xs")
+    right = dealt(open_.where("comp <> main"), "others", "j", "i", "all", "ys").select("bucket", "i", "j", "ys")
+    met = left.join(right, ["bucket", "i", "j"]).select("main", "xs", "ys")
+
+    def links(main: int, xs: list[dict], ys: list[dict]) -> Iterator[tuple[int, int]]:
+        linked = set()
+        for x in xs:
+            # two members outside the main class meet twice; once is enough
+            wanted = [y for y in ys if y["comp"] != x["comp"] and y["indexed"] + x["indexed"] > 0 and (x["comp"] == main or x["node"] < y["node"]) and (x["comp"], y["comp"]) not in linked]
+            for y, ok in zip(wanted, near(x["payload"], [y["payload"] for y in wanted]), strict=True):
+                if ok and (x["comp"], y["comp"]) not in linked:
+                    linked |= {(x["comp"], y["comp"]), (y["comp"], x["comp"])}
+                    yield x["node"], y["node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for lo in range(0, batch.num_rows, 256):
-                for node, comp, indexed, payload, main, ms in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    # two members outside the main class meet twice; once is enough
-                    ms = [m for m in ms if m["comp"] != comp and m["indexed"] + indexed > 0 and (comp == main or node < m["node"])]
-                    linked = {}
-                    for m, ok in zip(ms, near(payload, [m["payload"] for m in ms]), strict=True):
-                        if ok:
-                            linked.setdefault(m["comp"], m["node"])
-                    a += [node] * len(linked)
-                    b += linked.values()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found = []
+            for at in range(batch.num_rows):
+                found += links(*(c[at].as_py() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 

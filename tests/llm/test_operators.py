@@ -366,6 +366,30 @@ def test_banded_edit_distance(a, b, threshold):
     assert line_dedup.edit_distance_within(a, b, threshold) == (d if d <= threshold else None)
 
 
+@pytest.mark.parametrize("chunk", [4, linking.CHUNK])
+def test_blocks_of_a_bucket_lose_no_connection(spark, monkeypatch, chunk):
+    """Classes that are near in some bucket are joined, whatever the blocks, and nothing else is."""
+    monkeypatch.setattr(linking, "CHUNK", chunk)
+    rng = random.Random(9)
+    values = {node: rng.randrange(400) for node in range(150)}
+    comp = {node: node if node % 3 else node % 2 for node in values}  # a third in two classes, the others alone
+    live = [(bucket, node, int(rng.random() < 0.5), comp[node]) for bucket in (1, 2) for node in sorted(rng.sample(range(150), 90))]
+    near = lambda one, others: [abs(one - other) <= 2 for other in others]
+    links = linking.near_apart(spark.createDataFrame(live, "bucket long, node long, indexed int, comp long"), spark.createDataFrame(list(values.items()), "node long, payload long"), near)
+    links = [tuple(r) for r in links.collect()]
+    pairs = {(x[1], y[1]) for x in live for y in live if x[0] == y[0] and x[3] != y[3] and x[2] + y[2] > 0 and abs(values[x[1]] - values[y[1]]) <= 2}
+    assert set(links) <= pairs
+
+    def classes(joined):
+        top = dict(comp)
+        for a, b in joined:
+            old, new = top[a], top[b]
+            top = {node: new if c == old else c for node, c in top.items()}
+        return {frozenset(node for node in top if top[node] == c) for c in set(top.values())}
+
+    assert classes(links) == classes(pairs)
+
+
 def test_lines_against_brute_force(spark):
     rng = random.Random(6)
     pool = [prose(rng, rng.randint(6, 14)) for _ in range(40)] + ["short line x"]
