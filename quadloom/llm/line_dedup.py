@@ -170,8 +170,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, threshold: int = 2, min_near:
     def verify(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                near = [edit_distance_within(x, y, threshold) is not None for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+                for part in (batch.slice(lo, 256) for lo in range(0, batch.num_rows, 256)):
+                    near = [edit_distance_within(x, y, threshold) is not None for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                    yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
         return with_values(pairs, texts).mapInArrow(check, "a long, b long")
 
