@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import tempfile
 import uuid
+import zipfile
 from dataclasses import replace
 from functools import reduce
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,16 +176,42 @@ def xml_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nation_from(spark, LogicalSource(path, "xml", "/nations/nation"))
 
 
-# databases: one in memory, which executors share under a local master only
+# databases: one in a file of the shared folder, which the driver and each executor open for themselves, to read
 
-DERBY = {"url": "jdbc:derby:memory:quadloom;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
 def _database(spark: SparkSession, sf_dir: str) -> LogicalSource:
-    name = f"n{uuid.uuid4().hex}"
+    """A database with the table nation. The driver makes it, shuts it down and packs it; Derby opens a packed one in any number of JVMs.
+
+    The file isn't compressed, as pages are read from any place of it. Values are all quoted, so that only nulls are empty.
+    """
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    nation.write.format("jdbc").options(**DERBY, dbtable=name, createTableColumnTypes="n_name VARCHAR(40)").save()
-    return LogicalSource("db", "jdbc", table=name, connection=tuple(DERBY.items()))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    jar = jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}/nation.jar")
+    if (kind := jar.getFileSystem(conf).getUri().getScheme()) != "file":
+        raise ValueError(f"Derby opens no {kind} paths: set spark.checkpoint.dir to a mounted folder that the driver and all executors share")
+    packed = Path(jar.toUri().getPath())
+    packed.parent.mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(prefix="quadloom-") as made:
+        folder = Path(made).resolve()
+        with open(folder / "rows.csv", "w", encoding="utf-8", newline="") as f:
+            csv.writer(f, quoting=csv.QUOTE_NOTNULL, lineterminator="\n").writerows(nation.toLocalIterator())
+        derby, url, none = jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver(), f"jdbc:derby:{folder}/nation", jvm.java.util.Properties()
+        opened = derby.connect(f"{url};create=true", none)
+        columns = ", ".join(f'"{c}" {"VARCHAR(32672)" if t == "string" else t}' for c, t in nation.dtypes)
+        opened.createStatement().execute(f"CREATE TABLE nation ({columns})")
+        opened.createStatement().execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'NATION', '{folder}/rows.csv', NULL, NULL, 'UTF-8', 0)")
+        opened.close()
+        try:
+            derby.connect(f"{url};shutdown=true", none)
+        except Py4JJavaError as e:  # which is how Derby says that it is done
+            if e.java_exception.getSQLState() != "08006":
+                raise
+        with zipfile.ZipFile(packed, "w") as z:
+            for file in sorted((folder / "nation").rglob("*")):
+                z.write(file, file.relative_to(folder))
+    return LogicalSource("db", "jdbc", table="nation", connection=(("url", f"jdbc:derby:jar:({packed})nation"), ("driver", DERBY)))
 
 
 @query(NATION_TEXT)
