@@ -13,7 +13,7 @@ import pytest
 from quadloom import queries, source_queries  # noqa: F401  adds its queries to the others
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["jdbc_bag"]
+NAMES = ["jdbc_bag", "jdbc_projection"]
 SCRIPT = """
 import json, sys
 from pyspark.sql import SparkSession
