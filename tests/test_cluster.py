@@ -10,10 +10,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quadloom import queries, source_queries  # noqa: F401  adds its queries to the others
+from quadloom import queries, source_queries
+from quadloom.sources import readers
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["jdbc_bag", "jdbc_projection"]
+NAMES = ["jdbc_bag", "jdbc_projection", "jdbc_source"]
 SCRIPT = """
 import json, sys
 from pyspark.sql import SparkSession
@@ -52,3 +53,15 @@ def test_cluster(found, name):
     want = want.select(*sorted(want.columns)).fetchall()
     assert not isinstance(found[name], str), found[name]
     assert Counter(map(tuple, found[name])) == Counter(want) and want
+
+
+def test_database_values(spark, tmp_path, monkeypatch):
+    """Nulls, empty texts, quotes, line ends and repeats come back as they were; a folder that Derby can't open is named."""
+    rows = [(0, 'a "q", b', 0), (1, "", 1), (2, None, None), (3, " pad ", 2), (4, "two\nlines", 2), (5, "cr\r\nlf", 3), (6, "é漢😀", 4), (7, '"', -1), (7, '"', -1), (None, "x" * 99, 3), (8, "\\n,\t", 2**31 - 1)]
+    spark.createDataFrame(rows, "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    made = source_queries._database(spark, str(tmp_path))
+    assert Counter(map(tuple, readers.read_jdbc(spark, made, {}, distinct=False).collect())) == Counter(rows)
+    assert Counter(map(tuple, readers.read_jdbc(spark, made, {}).collect())) == Counter(set(rows))
+    monkeypatch.setattr(source_queries, "_folder", lambda spark: "hdfs://localhost:1/x")
+    with pytest.raises(ValueError, match="hdfs"):
+        source_queries._database(spark, str(tmp_path))
